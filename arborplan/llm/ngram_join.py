@@ -273,8 +273,13 @@ class Join:
         differ = F.col("root_x") != F.col("root_y")
         light = a.where(F.col("mass_x") <= LIGHT).join(b.where(F.col("mass_y") <= LIGHT).withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("node_x") < F.col("node_y")) & differ & passes)
         heavy = lists.where(F.col("mass") > LIGHT).select("token", F.col("root").alias("heavy"))
+        # On such lists a pair is made at the first of them that it shares: there both rows know the lists before.
+        w = Window.partitionBy("node").orderBy("pos", "token").rowsBetween(Window.unboundedPreceding, -1)
+        hot = rows.join(heavy.select("token").distinct(), "token", "left_semi").withColumn("before", F.collect_list("token").over(w))
+        a, b = (hot.select(*names[:-1], "signature", "before").toDF(*(c if c == "token" else f"{c}_{k}" for c in (*names, "before"))) for k in "xy")
         met = heavy.join(b, "token").where((F.col("heavy") != F.col("root_y")) & ((F.col("mass_y") <= LIGHT) | (F.col("heavy") < F.col("root_y"))))
-        far = a.withColumnRenamed("token", "t").join(met, (F.col("t") == F.col("token")) & (F.col("root_x") == F.col("heavy")) & passes)
+        new = ~F.arrays_overlap("before_x", "before_y")
+        far = a.withColumnRenamed("token", "t").join(met, (F.col("t") == F.col("token")) & (F.col("root_x") == F.col("heavy")) & passes & new)
         found = light.select("node_x", "node_y").union(far.select("node_x", "node_y"))
         return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
