@@ -115,7 +115,6 @@ def mix_sources(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> Data
     return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard", "h")
 
 
-@F.pandas_udf("string")
 def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     """The text up to the end of its n-th word."""
 
@@ -138,7 +137,7 @@ def mixed(docs: DataFrame, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")) & F.col("source").eqNullSafe(F.col("__source"))
     each = rows.join(total, same).dropDuplicates(["doc_id", "__own", "source"])
     each = each.withColumn("__part", F.explode(F.concat(F.array_repeat(F.col("__size"), F.floor(F.col("__sum") / F.col("__size")).cast("int")), F.when(F.col("__sum") % F.col("__size") > 0, F.array(F.col("__sum") % F.col("__size"))).otherwise(F.array().cast("array<bigint>")))))
-    out = each.withColumn("text", F.when(F.col("__part") == F.col("__size"), F.col("text")).otherwise(first_words("text", "__part")))
+    out = each.withColumn("text", F.when(F.col("__part") == F.col("__size"), F.col("text")).otherwise(F.pandas_udf(first_words, "string")("text", "__part")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

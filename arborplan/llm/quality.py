@@ -24,16 +24,17 @@ STEPS = 160
 RATE = 0.01
 
 
-def recurring(raw: np.ndarray) -> np.ndarray:
-    """Where the last four bytes stood shortly before (0 or 1 for each byte)."""
+def recurring(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the last four bytes stood shortly before in the same row (0 or 1 for each byte)."""
     out = np.zeros(len(raw), bool)
     if len(raw) < 8:
         return out
     x = raw.astype(np.uint32)
     four = x[3:] | x[2:-1] << 8 | x[1:-2] << 16 | x[:-3] << 24
+    place = np.minimum(np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets)), 255).astype(np.uint8)
     for lag in LAGS:
         if lag < len(four):
-            out[3 + lag :] |= four[lag:] == four[:-lag]
+            out[3 + lag :] |= (four[lag:] == four[:-lag]) & (place[3 + lag :] >= 3 + lag)
     return out
 
 
@@ -75,7 +76,7 @@ class Network:
         start, first = halves(offsets)
         length = np.maximum(1, np.minimum(HALF, np.repeat(offsets[1:], np.diff(first)) - start))
         if n:
-            rec = recurring(raw)
+            rec = recurring(raw, offsets)
             cuts = np.minimum(start, n - 1)
             empty = np.repeat(np.diff(offsets) == 0, np.diff(first))
             # Rows are end to end, so the sums from one start to the next are the half chunks' sums.

@@ -17,9 +17,9 @@ BUCKETS = 1 << 18
 STEPS = 80
 RATE = 0.05
 #: A feature that fewer training documents have keeps the weight 0.
-LEAST_DOCS = 3
-#: So many standard errors of a feature's log odds count as chance.
-CHANCE = 2.6
+LEAST_DOCS = 4
+#: So many standard errors between the labels' shares of documents with a feature count as chance.
+CHANCE = 3.5
 #: Besides whole words, their first bytes are features, which know inflected forms.
 PREFIXES = (4, 5, 6)
 
@@ -93,7 +93,7 @@ class SentenceModel:
 def train(texts: list[bytes], y: np.ndarray, steps: int = STEPS) -> SentenceModel:
     """Full-batch AdaGrad on the documents' log loss, both labels with equal total weight. Without both labels the score is their share, 0.5 without any.
 
-    A feature starts from how much likelier toxic training documents are to have it (as log odds, what chance explains taken off); one that chance explains keeps the weight 0.
+    A feature starts from how much likelier toxic training documents are to have it (as log odds, one taken off); one that chance explains keeps the weight 0.
     """
     model = SentenceModel(np.zeros(BUCKETS), -6.0)
     if len(texts) == 0 or y.min() == y.max():
@@ -109,9 +109,10 @@ def train(texts: list[bytes], y: np.ndarray, steps: int = STEPS) -> SentenceMode
     known = count >= LEAST_DOCS
     n_bad, n_good = y.sum(), len(y) - y.sum()
     lean = np.log((bad + 0.5) / (n_bad + 1)) - np.log((count - bad + 0.5) / (n_good + 1))
-    chance = CHANCE * np.sqrt(1 / (bad + 0.5) + 1 / (count - bad + 0.5))
-    known &= np.abs(lean) > chance
-    model.weights = np.where(known, np.sign(lean) * np.clip(np.abs(lean) - chance, 0, 4), 0.0)
+    both = count / len(y)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_bad + 1 / n_good))
+    known &= np.abs(bad / n_bad - (count - bad) / n_good) > CHANCE * error
+    model.weights = np.where(known, np.sign(lean) * np.clip(np.abs(lean) - 1, 0, 4), 0.0)
     use = known[f]
     word_of, flat_f = np.repeat(owner, use.sum(1)), f[use]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
