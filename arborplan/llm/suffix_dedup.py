@@ -30,7 +30,7 @@ GRAM = 152
 #: Windows of a text that are looked at together, which bounds memory for very long texts.
 CHUNK = 1 << 19
 #: Segments that one construction takes; an anchor with more different segments than HEAVY is split by its windows' digests.
-COLLECTION = 4096
+COLLECTION = 16384
 HEAVY = 8192
 
 
