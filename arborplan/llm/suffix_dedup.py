@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     parts = whole.union(built.join(single, ["anchor", "digest"], "left_semi").select("anchor", "digest", "first", "last"))
     hit = rows.select("anchor", "digest", "key", "starts").join(parts, ["anchor", "digest"])
     spans = F.flatten(F.transform("starts", lambda s: F.zip_with("first", "last", lambda a, b: F.struct((s + a).alias("a"), (s + b).alias("b")))))
-    return hit.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # Copies of a text bring the same spans; as a set they are kept once, or each copy would carry all copies' spans.
+    return hit.select("key", spans.alias("spans")).groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def merged(spans: list, window: int = WINDOW) -> list[tuple[int, int]]:
