@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, paths, text
@@ -333,8 +333,7 @@ m(job, rn, seq, last_at, last_bytes, rate, seen, moved) as (
   from m join n on n.job = m.job and n.rn = m.rn + 1)
 select m.job, m.seq, round(rate, 3) as rate, log.elapsed_ns - moved as stalled_ns from m join log on log.job = m.job and log.seq = m.seq where rn > 0 and rn <= 400""")
 def rate_meter(spark, sf):
-    own = Window.partitionBy("job").orderBy("seq")
-    return progress.rates(progress_log(spark, sf)).withColumn("rn", F.row_number().over(own)).where("rn <= 400").select("job", "seq", F.round("rate", 3).alias("rate"), "stalled_ns")
+    return progress.rates(progress_log(spark, sf)).select("job", "seq", F.round("rate", 3).alias("rate"), "stalled_ns")
 
 
 @query(f"""with {LOG_SQL}, x as (select *, coalesce(max(bytes) over (partition by job order by seq rows between unbounded preceding and 1 preceding), 0) as before from log),

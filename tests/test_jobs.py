@@ -1,5 +1,6 @@
 """Scans, plans, copies and duplicates over real trees, the stream twin of the meter, and the catalogue's plan invariants."""
 
+import datetime
 import os
 
 from pyspark.sql import functions as F
@@ -102,3 +103,25 @@ def test_catalogue(spark):
     assert rows.count() == rows.select(F.lower("dst")).distinct().count() > 0
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert catalogue.QUERIES["copy_report"](spark, sf).where("error_class is not null").count() == 1
+
+
+def test_rate_meter_is_whole(spark, tmp_path):
+    n = 1500
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    events = [(j * n + i, "ab"[j], (i * 37 % 101) / 4, start + datetime.timedelta(seconds=i * (900 + i % 7))) for j in range(2) for i in range(n)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for j in range(2):
+        done, last_at, last_bytes, rate, moved = 0, 0, 0, 0.0, 0
+        for seq, _, value, ts in events[j * n : (j + 1) * n]:
+            at = (ts - start) // datetime.timedelta(microseconds=1) * 1000 // catalogue.FASTER
+            more = round(value * 100)
+            done, moved = done + more, at if more else moved
+            if at > last_at and (rate == 0 or at - last_at >= 300_000_000):
+                now = (done - last_bytes) / ((at - last_at) / 1e9)
+                rate = now if rate == 0 else 0.6 * rate + 0.4 * now
+                last_at, last_bytes = at, done
+            want["ab"[j], seq] = (rate, at - moved)
+    got = {(r.job, r.seq): r for r in catalogue.QUERIES["rate_meter"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(r.rate - want[k][0]) < 1e-3 * max(1, abs(r.rate) * 1e-6) and r.stalled_ns == want[k][1] for k, r in got.items())
