@@ -27,6 +27,10 @@ RANGES = 1024
 #: Components with more sets than this on a token's list are paired as a whole with the rest of it.
 LIGHT = 32
 ORDERS = 3
+#: About so many sets of a component are compared at once with as many others.
+BLOCK = 128
+#: Columns of the matrix whose products count shared shingles.
+COLUMNS = 1 << 14
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -194,6 +198,64 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
 
+def _met(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x shares with each of y."""
+    found, at = np.unique(np.concatenate((*x, *y)), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(h) for h in (*x, *y)])
+    # A column is a shingle that at least two sets have.
+    often = np.bincount(at, minlength=len(found)) > 1
+    column = np.cumsum(often) - 1
+    row, at = row[often[at]], column[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(x), len(y)), np.int64)
+    for low in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(at, (low, low + COLUMNS))
+        has = np.zeros((len(x) + len(y), min(COLUMNS, int(often.sum()) - low)), np.float32)
+        has[row[i:j], at[i:j] - low] = 1
+        out += (has[: len(x)] @ has[len(x) :].T).astype(np.int64)
+    return out
+
+
+def _meetings(pairs: bool):
+    """For rows (root, i, j, side, node, w, t) sorted by the first four, where side 0 is compared with side 1, or with itself if i = j:
+    (a, b) of the sets that link, or (node, far), the sum of w over the sets that a set links with here."""
+
+    def met(same: bool, nodes: tuple[list, list], weights: tuple[list, list], sets: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        right = 0 if same else 1
+        if not nodes[0] or not nodes[right]:
+            return
+        shared = _met(sets[0], sets[right])
+        n, m = (np.array([len(h) for h in sets[k]]) for k in (0, right))
+        link = 100 * shared >= PERCENT * (n[:, None] + m[None, :] - shared)
+        if same:
+            np.fill_diagonal(link, False)
+        x, y = (pa.array(nodes[k], pa.binary()) for k in (0, right))
+        if pairs:
+            a, b = np.nonzero(np.triu(link) if same else link)
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(a)), y.take(pa.array(b))], ["a", "b"])
+            return
+        yield pa.RecordBatch.from_arrays([x, pa.array(link @ np.array(weights[right], np.int64))], ["node", "far"])
+        if not same:
+            yield pa.RecordBatch.from_arrays([y, pa.array(link.T @ np.array(weights[0], np.int64))], ["node", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = None, None
+        for batch in batches:
+            *columns, _ = (c.to_pylist() if k < 6 else None for k, c in enumerate(batch.columns))
+            for root, i, j, side, node, w, h in zip(*columns, shingle_hashes(*flat(batch.column(6))), strict=True):
+                if (root, i, j) != held:
+                    if kept:
+                        yield from met(held[1] == held[2], *kept)
+                    held, kept = (root, i, j), (([], []), ([], []), ([], []))
+                for own, value in zip(kept, (node, w, h), strict=True):
+                    own[side].append(value)
+        if kept:
+            yield from met(held[1] == held[2], *kept)
+
+    return run
+
+
 class Join:
     """The steps of one join. Stored in the shared folder: the sets' summaries and the tokens that sets share."""
 
@@ -293,14 +355,37 @@ class Join:
             return first
         return components(links.union(more))
 
+    def meetings(self, roots: DataFrame) -> DataFrame:
+        """Every two sets of a component in some (root, i, j), once. No link leaves a component, so these hold all links.
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+        A component is dealt into blocks by hash, and two blocks meet at a time: no task must hold more than two.
+        """
+        weight = self.rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+        k = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+        own = roots.join(k, "root").join(weight, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+        rows = own.join(self.texts(roots.select("node")), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        rows = rows.select("root", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "w", "t")
+        n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+
+    def links(self, roots: DataFrame) -> DataFrame:
+        """(a, b), once each: all pairs of different sets that link."""
+        return self.meetings(roots).mapInArrow(_meetings(True), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def degrees(self, roots: DataFrame) -> DataFrame:
+        """(node, far): with how many rows of other sets each row of a set links. Counted where blocks meet, so links make no rows."""
+        return self.meetings(roots).mapInArrow(_meetings(False), "node binary, far long").groupBy("node").agg(F.sum("far").alias("far"))
+
+
+def ngram_components(docs: DataFrame, with_links: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, text_hash; rows that a chain of links joins share the smallest doc_id.
 
     Documents with equal shingle sets are one set from the start, so copies cost no pairs. Sets on a token's list are first
     linked to its first set; then all pairs that the filters leave between different components are verified. A document
     without words is linked with nothing. Null doc_ids take part; a component of them alone has a null id.
-    Repeated rows each give a row; columns beside doc_id and text are not read; an empty table gives no rows.
+    with_links adds n_links, the number of other rows that a row links with: every two sets of a component are compared, and
+    copies count as often as they are there. Components alone need only some of the links. Repeated rows each give a row; columns beside doc_id and text are not read; an empty table gives no rows.
     """
     join = Join(docs)
     roots = join.roots()
@@ -308,7 +393,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     low = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
     out = rows.join(low, "root", "left")
     own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash")
+    named = [F.col("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("text_hash")]
+    if not with_links:
+        return out.select(*named)
+    copies = rows.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    out = out.join(copies, "node", "left").join(join.degrees(roots), "node", "left")
+    return out.select(*named, (F.coalesce("copies", F.lit(0)) + F.coalesce("far", F.lit(0))).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -327,3 +417,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_ngram_join's columns and the number of each document's links; the SQL of that query has no column for it."""
+    return ngram_components(documents(spark, sf_dir), with_links=True).select("doc_id", "n_shingles", "component_id", "n_links")

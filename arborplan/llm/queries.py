@@ -11,7 +11,7 @@ from . import chat, fingerprints, media, mixing, ngram_join, packing, quality, s
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chat.op1_tool_chat, quality.op2_quality_cnn, suffix_dedup.op3_suffix_columns, ngram_join.op4_ngram_join, toxicity.op5_toxicity_mil,
+        chat.op1_tool_chat, quality.op2_quality_cnn, suffix_dedup.op3_suffix_columns, ngram_join.op4_ngram_join, ngram_join.op4_ngram_links, toxicity.op5_toxicity_mil,
         sharding.op6_slot_sharding, media.op7_gif_columns, packing.op8_pack_binary, fingerprints.op9_simhash, mixing.op10_mix_sources,
     )
 }

@@ -107,6 +107,30 @@ def test_ngram_join(docs, none, rows, light, monkeypatch):
     assert sorted(kept) == sorted({c for (_, n, c) in want if n} | words)
 
 
+@pytest.mark.parametrize("block", [128, 3])
+def test_all_links_are_found(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 64)
+    r = random.Random(9)
+    base = prose(r, 120).split(" ")
+    texts = []
+    for k in range(24):  # near copies, some nearer than others
+        w = list(base)
+        for _ in range(k % 6):
+            w[r.randrange(len(w))] = "other"
+        texts.append(" ".join(w))
+    texts += [texts[1], texts[1], prose(r, 80), None, "", "one", "ONE"]
+    sets, links = brute_links(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter(i for link in links for i in link)
+    got = {x.doc_id: x.n_links for x in ngram_join.ngram_components(df, with_links=True).collect()}
+    assert got == {i: want[i] for i in range(len(texts))}
+    join = ngram_join.Join(df)
+    node = {x.doc_id: bytes(x.node) for x in join.rows.where("node is not null").collect()}
+    pairs = [(bytes(x.a), bytes(x.b)) for x in join.links(join.roots()).collect()]
+    assert sorted(pairs) == sorted({(min(node[a], node[b]), max(node[a], node[b])) for a, b in links if node[a] != node[b]})
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (4, 5), (6, 6), (9, 5), (7, 8), (8, 10), (10, 11), (11, 12), (1, 13), (13, 12)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
