@@ -40,9 +40,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document's ids, a sequence each."""
+    """The pieces of every document's ids, a sequence each, with the ids themselves."""
     arborplan.ship(spark)
-    return packing.pack(docs, packing.tokenizer_path())
+    return packing.pack(docs, packing.tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

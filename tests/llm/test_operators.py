@@ -311,3 +311,10 @@ def test_pipeline(spark):
     assert len(corpus_pipeline.STAGES) == 5 and out.count() > 0
     assert out.select("sequence_id").distinct().count() == out.count()
     assert out.agg(F.max("length")).collect()[0][0] <= 2048
+
+
+def test_pipeline_keeps_ids(spark, docs):
+    import corpus_pipeline
+
+    out = corpus_pipeline.packed(spark, docs, "").collect()
+    assert out and all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in out)
