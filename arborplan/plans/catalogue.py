@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, paths, text
@@ -377,35 +381,42 @@ def frame_throttle(spark, sf):
     return progress.drawn(progress_log(spark, sf))
 
 
+def shared_folder(spark: SparkSession) -> Path:
+    """A new folder that all executors reach by its path: in the cluster's folder for checkpoints, else a local one."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    at = urlparse(there)
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"files can't be copied in {there}")
+    return Path(unquote(at.path) if at.scheme else there) / f"copy-{uuid.uuid4().hex}"
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """files (rel, content) as files in folder."""
+
+    def written(rows: Iterator[Row]) -> None:
+        for r in rows:
+            path = os.path.join(folder, r.rel)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(r.content)
+
+    files.select("rel", "content").foreachPartition(written)
+
+
 @query()
 def copy_report(spark, sf):
-    """Copies a fixed tree of small files, one of which is missing, in a folder of its own. Without a cluster's shared folder this is a local one."""
-    from pathlib import Path
-
-    folder = Path(tempfile.gettempdir()) / f"copy-{uuid.uuid4().hex}"
-    rows = [(i, str(folder / "in" / f"{i}.bin"), f"out/{i % 3}/{i}.bin") for i in range(12)]
-
-    def written(batches):
-        import os
-
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for seq, src, dst in zip(b["seq"], b["src"], b["dst"], strict=True):
-                os.makedirs(os.path.dirname(src), exist_ok=True)
-                if seq != 7:
-                    with open(src, "wb") as f:
-                        f.write(bytes(seq * 10))
-                target = os.path.join(str(folder), dst)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                try:
-                    out.append((seq, dst, copy.copy_file(src, target), None))
-                except OSError as e:
-                    out.append((seq, dst, 0, type(e).__name__))
-                for p in (src, target):
-                    if os.path.exists(p):
-                        os.unlink(p)
-            yield pd.DataFrame(out, columns=["seq", "dst", "bytes", "error_class"])
-
-    return spark.createDataFrame(rows, "seq long, src string, dst string").mapInPandas(written, "seq long, dst string, bytes long, error_class string")
+    """Writes the planned documents as files, all but that of seq 7, and copies all of plan_flatten's rows. The report is stored, the files go."""
+    folder = shared_folder(spark)
+    try:
+        planned = plan_flatten(spark, sf)
+        planned.write.parquet((folder / "plan").as_uri())
+        planned = spark.read.parquet((folder / "plan").as_uri())
+        missing = planned.where("seq = 7").select(F.col("src").alias("rel"))
+        files = plan.pruned(doc_manifest(spark, sf)).select("rel", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+        write_files(files.join(F.broadcast(missing), "rel", "left_anti"), str(folder / "in"))
+        source = F.concat(F.lit(str(folder / "in") + "/"), "src")
+        report = copy.copied(planned.select("seq", source.alias("src"), "dst"), str(folder / "out")).select("seq", "dst", "bytes", "error_class")
+        report.write.parquet((folder.parent / f"{folder.name}-report").as_uri())
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return spark.read.parquet((folder.parent / f"{folder.name}-report").as_uri())

@@ -125,3 +125,13 @@ def test_rate_meter_is_whole(spark, tmp_path):
     got = {(r.job, r.seq): r for r in catalogue.QUERIES["rate_meter"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(abs(r.rate - want[k][0]) < 1e-3 * max(1, abs(r.rate) * 1e-6) and r.stalled_ns == want[k][1] for k, r in got.items())
+
+
+def test_copy_report_covers_the_plan(spark):
+    sf = "/root/testdata/sf0.001"
+    size = {r.rel: r.n for r in catalogue.doc_manifest(spark, sf).selectExpr("rel", "octet_length(coalesce(text, '')) as n").collect()}
+    want = {r.seq: (r.dst, size[r.src]) for r in catalogue.QUERIES["plan_flatten"](spark, sf).collect()}
+    got = {r.seq: r for r in catalogue.QUERIES["copy_report"](spark, sf).collect()}
+    assert got.keys() == want.keys() and got.pop(7).error_class == "FileNotFoundError"
+    assert {k: (r.dst, r.bytes) for k, r in got.items()} == {k: v for k, v in want.items() if k != 7}
+    assert all(r.error_class is None for r in got.values())
