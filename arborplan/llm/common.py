@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +24,78 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's (spark.checkpoint.dir), else one made for this session."""
+    """The folder for tables and checkpoints that all machines share: spark.checkpoint.dir. Only a driver that runs its tasks itself may go without it and gets a folder of its own."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if there is None and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if sc.getCheckpointDir() is None:
         there = there or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(there)
     return there
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table in the shared folder; its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+_open: ContextVar[list[list[str]]] = ContextVar("open_scratches", default=[])
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside go at its end, except those that are cut with keep=True; they belong to the scratch around it."""
+    made: list[str] = []
+    token = _open.set([*_open.get(), made])
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df, computed once and written as a table in the shared folder; its lineage ends there.
+
+    The table goes with the scratch it is cut in (the one around it with keep). A lazy result may still read tables outside any; those go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    scopes = _open.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        _kept.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _kept:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+            _delete(spark, path)
+
+
+def boxed(df: DataFrame, *keys: str) -> DataFrame:
+    """df's rows as one column `row` (fields c0, c1, ...), so that no helper column can clash with theirs, and the named columns as k0, k1, ..."""
+    names = df.columns
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.select(F.struct(*plain.columns).alias("row"), *(F.col(f"c{names.index(k)}").alias(f"k{i}") for i, k in enumerate(keys)))
+
+
+def unboxed(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(f"row.c{i}") for i in range(len(names)))).toDF(*names)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a boxed row's columns (maps aside), which tells repeated rows apart that differ somewhere."""
+    kind = docs.schema["row"].dataType
+    return F.xxhash64(*(F.col(f"row.{f.name}") for f in kind.fields if f.dataType.typeName() not in ("map", "variant")))
 
 
 def utf8(col: str | Column = "text") -> Column:
@@ -114,6 +176,25 @@ class Rolling:
             return mix((self.sums[end] - self.sums[start]) * Rolling._powers[start] + (end - start).astype(np.uint64))
 
 
+#: Longer words are hashed one by one: sums modulo 2**64 have known collisions among long strings.
+LONG_WORD = 64
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of a block's words (ascending). Sums are made for BLOCK_BYTES at a time, however long the text is."""
+    out = np.empty(len(start), np.uint64)
+    short = np.minimum(end, start + LONG_WORD)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK_BYTES)))
+        low, high = int(start[i]), int(short[j - 1])
+        out[i:j] = Rolling(raw[low:high]).slices(start[i:j] - low, short[i:j] - low)
+        i = j
+    for k in np.flatnonzero(end > short).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _up = np.ones(1, np.uint64)
 
 
@@ -160,6 +241,4 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def n_words(col: str | Column = "text") -> Column:
     """How many words [^\\x20\\x09-\\x0D]+ the text has; null has none. Stays in the JVM."""
     c = F.col(col) if isinstance(col, str) else col
-    spaces = " \t\n\u000b\f\r"
-    one = F.translate(F.coalesce(c, F.lit("")), spaces, " " * len(spaces))
-    return F.when(F.trim(one) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(one), " +"))).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

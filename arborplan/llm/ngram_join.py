@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, cut, documents, flat, lowered, mix, utf8, words
+from .common import blocks, boxed, cut, documents, flat, lowered, mix, row_hash, scratch, unboxed, utf8, word_hashes, words
 from .components import components
 
 SHINGLE = 4
@@ -24,6 +25,12 @@ CELL_BITS = 20
 SLICES = 64
 #: Ranges of hashes; the suffix filter compares whether sets have odd or even counts of shingles in them.
 RANGES = 1024
+#: The same folded to fewer ranges, for rows of which there are many.
+FOLDED = 256
+#: Texts that candidates name are looked for in so many cells of hashes first; the broadcast table has no more rows than that.
+TEXT_CELLS = 1 << 20
+#: Bytes of a set's name.
+NAME = 12
 #: Components with more sets than this on a token's list are paired as a whole with the rest of it.
 LIGHT = 32
 ORDERS = 3
@@ -38,7 +45,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     for i, j in blocks(offsets):
         part, at = lowered(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
         start, end, first = words(part, at)
-        own = Rolling(part).slices(start, end)
+        own = word_hashes(part, start, end)
         n = len(own)
         with np.errstate(over="ignore"):
             full = own[: max(0, n - size + 1)].copy()
@@ -60,19 +67,19 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 def node_of(hashes: np.ndarray) -> bytes:
     """Names a set of shingles; equal sets share it."""
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(hashes.tobytes(), digest_size=NAME).digest()
 
 
 _SETS = "doc_id long, text_hash long, n long, node binary, signature array<long>, slice int, cells binary"
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << CELL_BITS, np.uint32)
     names = [x.split()[0] for x in _SETS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     for b in batches:
         n, node, sign, seen = [], [], [], []
-        for h in shingle_hashes(*flat(b.column(2))):
+        for h in shingle_hashes(*flat(b.column(2)), size):
             n.append(len(h))
             node.append(node_of(h) if len(h) else None)
             odd = np.bincount((h & np.uint64(RANGES - 1)).astype(np.intp), minlength=RANGES) & 1
@@ -112,27 +119,27 @@ def _summed_packed(cells: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def needed(a: Column, b: Column) -> Column:
+def needed(a: Column, b: Column, percent: int = PERCENT) -> Column:
     """The least intersection at which sets of these sizes link."""
-    return F.ceil((a + b) * PERCENT / F.lit(100.0 + PERCENT) - 1e-9)
+    return F.call_function("div", (a + b).cast("long") * percent + (99 + percent), F.lit(100 + percent).cast("long"))
 
 
-def prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefix_rows(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(token, node, n, pos): the rarest shingles of each set, as many as a partner's set must share one of."""
     held = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
         order = held.value
         for b in batches:
             raw, offsets = flat(b.column(0))
+            known: set[bytes] = set()  # copies in a batch give their rows once
             for i, j in blocks(offsets, 1 << 21):
                 tokens, nodes, sizes, places = [], [], [], []
-                for h in shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for h in shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size):
                     if not len(h) or (node := node_of(h)) in known:
                         continue
                     known.add(node)
-                    k = len(h) - -(-PERCENT * len(h) // 100) + 1
+                    k = len(h) - -(-percent * len(h) // 100) + 1
                     seen = order[(h >> np.uint64(64 - CELL_BITS)).astype(np.intp)]
                     tokens.append(h[np.lexsort((h, seen))[:k]])
                     nodes.append((node, k))
@@ -145,55 +152,59 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select(utf8().alias("t")).mapInArrow(run, "token long, node binary, n int, pos int")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token a neighbour has; repeated (token, node) rows once."""
-    last: pa.RecordBatch | None = None
-    carried = False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if last is not None:
-            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-        token = b.column(0).to_numpy(zero_copy_only=False)
-        raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 16)
-        same_token = token[1:] == token[:-1]
-        same = same_token & (raw[1:] == raw[:-1]).all(1)
-        differs = same_token & ~same
-        keep = np.zeros(len(token), bool)
-        keep[1:] |= differs
-        keep[:-1] |= differs
-        # A run of equal rows is kept by its first; the first of a token is kept if another node follows.
-        fresh = np.concatenate(([True], ~same))
-        group = np.cumsum(fresh) - 1
-        kept = np.zeros(group[-1] + 1, bool)
-        np.logical_or.at(kept, group, keep)
-        kept[0] |= carried
-        first = np.flatnonzero(fresh)
-        out = first[:-1][kept[:-1]]
-        if len(out):
-            yield b.take(pa.array(out))
-        at = int(first[-1])
-        last, carried = b.slice(at, 1), bool(kept[-1])
-    if last is not None and carried:
-        yield last
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(percent: int = PERCENT):
+    """Of rows sorted by token, n, pos and node those that may make a pair on their token's list; repeated (token, node) rows once.
+
+    The first shingle that two linking sets share stands in the smaller one so early that it could link with an equal set from there
+    on; call that row fit. So a row stays if it is fit and the next row's set isn't too large for it, or if the last fit row before it isn't too
+    small. What is held is one batch, one row of the batch before, and the size of that token's last fit row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        low = 0  # the size of the last fit row before `last` on its list, 0 without one
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            token = b.column(0).to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, NAME)
+            fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (raw[1:] != raw[:-1]).any(1)))
+            first = np.flatnonzero(fresh)
+            token, n, pos = token[first], b.column(2).to_numpy()[first].astype(np.int64), b.column(3).to_numpy()[first]
+            at = np.arange(len(first))
+            fit = pos <= n - -(-2 * percent * n // (100 + percent))
+            begins = np.maximum.accumulate(np.where(np.concatenate(([True], token[1:] != token[:-1])), at, 0))
+            before = np.concatenate(([-1], np.maximum.accumulate(np.where(fit, at, -1))[:-1]))
+            smaller = np.where(before >= begins, n[before], np.where(begins == 0, low, 0))
+            keep = smaller * 100 >= n * percent
+            keep[:-1] |= fit[:-1] & (token[1:] == token[:-1]) & (n[1:] * percent <= n[:-1] * 100)
+            if len(out := first[:-1][keep[:-1]]):
+                yield b.take(pa.array(out))
+            last, low, on = b.slice(int(first[-1]), 1), int(smaller[-1]), bool(keep[-1])
+        if last is not None and on:
+            yield last
+
+    return run
+
+
+def _linked(batches: Iterator[pa.RecordBatch], size: int = SHINGLE, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those that link."""
     for b in batches:
         raw_a, at_a = flat(b.column(2))
         raw_b, at_b = flat(b.column(3))
         keep, held, held_set = [], None, None
-        for r, y in enumerate(shingle_hashes(raw_b, at_b)):
+        for r, y in enumerate(shingle_hashes(raw_b, at_b, size)):
             own = b.column(0)[r].as_py()
             if own != held:
                 part = raw_a[at_a[r] : at_a[r + 1]]
-                held, held_set = own, next(shingle_hashes(part, np.array([0, len(part)])))
+                held, held_set = own, next(shingle_hashes(part, np.array([0, len(part)]), size))
             x = held_set
             both = np.concatenate((x, y))
             both.sort(kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
                 keep.append(r)
         yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
@@ -217,7 +228,7 @@ def _met(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _meetings(pairs: bool):
+def _meetings(pairs: bool, size: int = SHINGLE, percent: int = PERCENT):
     """For rows (root, i, j, side, node, w, t) sorted by the first four, where side 0 is compared with side 1, or with itself if i = j:
     (a, b) of the sets that link, or (node, far), the sum of w over the sets that a set links with here."""
 
@@ -227,7 +238,7 @@ def _meetings(pairs: bool):
             return
         shared = _met(sets[0], sets[right])
         n, m = (np.array([len(h) for h in sets[k]]) for k in (0, right))
-        link = 100 * shared >= PERCENT * (n[:, None] + m[None, :] - shared)
+        link = 100 * shared >= percent * (n[:, None] + m[None, :] - shared)
         if same:
             np.fill_diagonal(link, False)
         x, y = (pa.array(nodes[k], pa.binary()) for k in (0, right))
@@ -243,7 +254,7 @@ def _meetings(pairs: bool):
         held, kept = None, None
         for batch in batches:
             *columns, _ = (c.to_pylist() if k < 6 else None for k, c in enumerate(batch.columns))
-            for root, i, j, side, node, w, h in zip(*columns, shingle_hashes(*flat(batch.column(6))), strict=True):
+            for root, i, j, side, node, w, h in zip(*columns, shingle_hashes(*flat(batch.column(6)), size), strict=True):
                 if (root, i, j) != held:
                     if kept:
                         yield from met(held[1] == held[2], *kept)
@@ -259,30 +270,36 @@ def _meetings(pairs: bool):
 class Join:
     """The steps of one join. Stored in the shared folder: the sets' summaries and the tokens that sets share."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> None:
         spark = docs.sparkSession
+        self.size, self.percent = size, percent
         rows = docs.select("doc_id", "text")
-        self.sets = cut(rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), utf8().alias("t")).mapInArrow(_summaries, _SETS))
-        self.rows = self.sets.where("slice is null").drop("slice", "cells")
+        self.sets = cut(rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), utf8().alias("t")).mapInArrow(lambda batches: _summaries(batches, size), _SETS), keep=True)
+        self.rows = self.sets.where("slice is null").select("doc_id", "text_hash", "n", "node")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        prefix = prefix_rows(rows, rarity(self.sets)).repartition(n, "token").sortWithinPartitions("token", "n", "node")
-        self.shared = cut(prefix.mapInArrow(_shared, "token long, node binary, n int, pos int"))
+        prefix = prefix_rows(rows, rarity(self.sets), size, percent).repartition(n, "token").sortWithinPartitions("token", "n", "pos", "node")
+        self.shared = cut(prefix.mapInArrow(_shared(percent), "token long, node binary, n int, pos int"))
         #: One row for each set, with a row of docs that has it.
-        self.nodes = self.rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+        named = self.sets.where("node is not null")
+        self.nodes = cut(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("n").alias("n"), F.first("signature").alias("signature")))
         self.docs = rows
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, t) of nodes (node): the text of one row that has the set."""
-        own = nodes.join(self.nodes, "node").select("node", F.col("own.doc_id").alias("id"), "own.text_hash")
-        there = self.docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-        found = there.join(own, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash")))
-        return found.select("node", utf8().alias("t")).dropDuplicates(["node"])
-
-    @staticmethod
-    def suffix_filter(x: str, y: str, na: str, nb: str) -> Column:
+        """(node, t) of nodes (node): the text of one row that has the set.
+
+        Texts are looked for by cells of their hashes first, in a broadcast table of at most TEXT_CELLS numbers, so that few of the others are shuffled.
+        """
+        own = cut(nodes.join(self.nodes, "node").select("node", "own"))
+        cells = own.select(F.pmod("own.text_hash", F.lit(TEXT_CELLS)).cast("int").alias("cell")).distinct()
+        there = self.docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("own"), utf8().alias("t"))
+        there = there.join(F.broadcast(cells), F.pmod("own.text_hash", F.lit(TEXT_CELLS)).cast("int") == F.col("cell"), "left_semi")
+        # One key for both steps, so that repeated rows are brought together where the join needs them. A null id equals a null id in it.
+        return there.dropDuplicates(["own"]).join(own.hint("merge"), "own").select("node", "t")
+
+    def suffix_filter(self, x: str, y: str, na: str, nb: str, ranges: int = RANGES) -> Column:
         """Each shingle in one set alone changes one range's parity, so ranges of unlike parity bound the difference from below."""
-        unlike = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, RANGES // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-        return unlike <= F.col(na) + F.col(nb) - 2 * needed(F.col(na), F.col(nb))
+        unlike = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, ranges // 64)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+        return unlike <= F.col(na) + F.col(nb) - 2 * needed(F.col(na), F.col(nb), self.percent)
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that the suffix filter leaves."""
@@ -292,16 +309,18 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of stored, distinct pairs those that link; each is looked at once."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = cut(self.texts(ends))
-        ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-        both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return both.mapInArrow(_linked, "a binary, b binary")
+        with scratch(self.docs.sparkSession):
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            texts = cut(self.texts(ends))
+            ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
+            both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+            size, percent = self.size, self.percent
+            return cut(both.mapInArrow(lambda batches: _linked(batches, size, percent), "a binary, b binary"), keep=True)
 
     def may_link(self, na: str, pa_: str, nb: str, pb: str) -> Column:
         """Length filter, and the positional one: what can still be shared from this token on."""
         a, b = F.col(na), F.col(nb)
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (F.least(a - F.col(pa_), b - F.col(pb)) >= needed(a, b))
+        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent) & (F.least(a - F.col(pa_), b - F.col(pb)) >= needed(a, b, self.percent))
 
     def stars(self) -> DataFrame:
         """Each set of a token's list with the list's first one and with the one before it in one of ORDERS seeded orders, where the filters allow it.
@@ -328,10 +347,12 @@ class Join:
         lists = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("mass"))
         mixed = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         lists = lists.join(mixed, "token", "left_semi")
-        rows = cut(rows.join(lists, ["token", "root"]).join(self.nodes.select("node", "signature"), "node"))
+        folds = FOLDED // 64
+        folded = F.array(*(reduce(Column.bitwiseXOR, (F.col("signature")[i] for i in range(k, RANGES // 64, folds))) for k in range(folds)))
+        rows = cut(rows.join(lists, ["token", "root"]).join(self.nodes.select("node", folded.alias("signature")), "node"))
         names = ("token", "node", "n", "pos", "root", "mass", "s")
         a, b = (rows.select(*names[:-1], "signature").toDF(*(c if c == "token" else f"{c}_{k}" for c in names)) for k in "xy")
-        passes = self.may_link("n_x", "pos_x", "n_y", "pos_y") & self.suffix_filter("s_x", "s_y", "n_x", "n_y")
+        passes = self.may_link("n_x", "pos_x", "n_y", "pos_y") & self.suffix_filter("s_x", "s_y", "n_x", "n_y", FOLDED)
         differ = F.col("root_x") != F.col("root_y")
         light = a.where(F.col("mass_x") <= LIGHT).join(b.where(F.col("mass_y") <= LIGHT).withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("node_x") < F.col("node_y")) & differ & passes)
         heavy = lists.where(F.col("mass") > LIGHT).select("token", F.col("root").alias("heavy"))
@@ -347,13 +368,12 @@ class Join:
 
     def roots(self) -> DataFrame:
         """(node, root) of the sets that link with another set."""
-        star = cut(self.filtered(self.stars()))
-        links = cut(self.verified(star))
-        first = components(links)
-        more = cut(self.verified(cut(self.rest(first).distinct().join(star, ["a", "b"], "left_anti"))))
-        if more.isEmpty():
-            return first
-        return components(links.union(more))
+        with scratch(self.docs.sparkSession):
+            star = cut(self.filtered(self.stars()))
+            links = self.verified(star)
+            first = components(links)
+            more = self.verified(cut(self.filtered(self.rest(first)).join(star, ["a", "b"], "left_anti")))
+            return cut(first if more.isEmpty() else components(links.union(more)), keep=True)
 
     def meetings(self, roots: DataFrame) -> DataFrame:
         """Every two sets of a component in some (root, i, j), once. No link leaves a component, so these hold all links.
@@ -371,48 +391,54 @@ class Join:
 
     def links(self, roots: DataFrame) -> DataFrame:
         """(a, b), once each: all pairs of different sets that link."""
-        return self.meetings(roots).mapInArrow(_meetings(True), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return self.meetings(roots).mapInArrow(_meetings(True, self.size, self.percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def degrees(self, roots: DataFrame) -> DataFrame:
         """(node, far): with how many rows of other sets each row of a set links. Counted where blocks meet, so links make no rows."""
-        return self.meetings(roots).mapInArrow(_meetings(False), "node binary, far long").groupBy("node").agg(F.sum("far").alias("far"))
+        return self.meetings(roots).mapInArrow(_meetings(False, self.size, self.percent), "node binary, far long").groupBy("node").agg(F.sum("far").alias("far"))
 
 
-def ngram_components(docs: DataFrame, with_links: bool = False) -> DataFrame:
+def ngram_components(docs: DataFrame, with_links: bool = False, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, text_hash; rows that a chain of links joins share the smallest doc_id.
 
-    Documents with equal shingle sets are one set from the start, so copies cost no pairs. Sets on a token's list are first
-    linked to its first set; then all pairs that the filters leave between different components are verified. A document
-    without words is linked with nothing. Null doc_ids take part; a component of them alone has a null id.
+    Shingles have `size` words; sets link from `percent` per cent of their union on. Documents with equal shingle sets are one set from the
+    start, so copies cost no pairs. Sets on a token's list are first linked to its first set; then all pairs that the filters leave between
+    different components are verified. A document without words (null and empty texts) is linked with nothing. Null doc_ids take part; a
+    component of them alone has a null id. Ties go to the smaller id. Very long texts are hashed in parts.
     with_links adds n_links, the number of other rows that a row links with: every two sets of a component are compared, and
-    copies count as often as they are there. Components alone need only some of the links. Repeated rows each give a row; columns beside doc_id and text are not read; an empty table gives no rows.
+    copies count as often as they are there. Components alone need only some of the links. Repeated rows each give a row; columns beside
+    doc_id and text are not read, so their names may be any; an empty table gives no rows.
     """
-    join = Join(docs)
-    roots = join.roots()
-    rows = join.rows.join(roots, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("root", "node").alias("root"))
-    low = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
-    out = rows.join(low, "root", "left")
-    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    named = [F.col("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("text_hash")]
-    if not with_links:
-        return out.select(*named)
-    copies = rows.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
-    out = out.join(copies, "node", "left").join(join.degrees(roots), "node", "left")
-    return out.select(*named, (F.coalesce("copies", F.lit(0)) + F.coalesce("far", F.lit(0))).alias("n_links"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
+    with scratch(docs.sparkSession):
+        join = Join(docs, size, percent)
+        roots = join.roots()
+        far = cut(join.degrees(roots), keep=True) if with_links else None
+        roots = cut(roots, keep=True)
+        rows = join.rows.join(roots, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("root", "node").alias("root"))
+        low = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
+        out = rows.join(low, "root", "left")
+        own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low"))
+        named = [F.col("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("text_hash")]
+        if far is None:
+            return out.select(*named)
+        copies = rows.where("node is not null").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("copies"))
+        out = out.join(copies, "node", "left").join(far, "node", "left")
+        return out.select(*named, (F.coalesce("copies", F.lit(0)) + F.coalesce("far", F.lit(0))).alias("n_links"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (a null id only if there is no other).
 
-    Documents without words each stay, but repeated rows of one are one. Columns stay as they are.
+    Documents without words (null and empty texts) each stay, but repeated rows of one are one; of repeated rows that differ in other columns the one with the
+    least hash of all columns stays. Columns stay as they are, whatever their names. An empty table gives no rows; very long texts are read whole.
     """
-    rows = ngram_components(docs)
+    rows = ngram_components(docs, size=size, percent=percent)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     group = F.when(F.col("n_shingles") > 0, F.concat(F.lit("c"), F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("text_hash"))))).otherwise(F.concat(F.lit("e"), F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.lit("."), F.col("text_hash")))
-    kept = rows.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__h")).distinct()
-    there = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = there.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    kept = rows.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("h")).distinct()
+    there = boxed(docs, "doc_id", "text").select("row", "k0", F.xxhash64(F.coalesce("k1", F.lit(""))).alias("k1"))
+    found = there.join(kept, F.col("k0").eqNullSafe(F.col("id")) & (F.col("k1") == F.col("h")), "left_semi")
+    return unboxed(found.groupBy("k0", "k1").agg(F.min_by("row", row_hash(there)).alias("row")), docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
