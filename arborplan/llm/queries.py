@@ -28,10 +28,14 @@ pieces as (
   select r, start, upto from rests
   union all select d.r, coalesce(max(z), 0), octet_length(any_value(b)) from d left join spans using (r) group by d.r),
 kept as (select r, string_agg(substr(hex(b), 2 * start + 1, 2 * (upto - start)), '' order by start) as x from pieces join d using (r) group by r),
-n as (select r, sum(z - a) as removed, count(*) as n from spans group by r)
+n as (select r, sum(z - a) as removed, count(*) as n from spans group by r),
+w2 as (select r, i, sha256(b[i + 1 : i + 250]) as h from (select r, doc_id, b, unnest(range(0, octet_length(b) - 249)) as i from d where octet_length(b) >= 250)),
+k2 as (select r, i from (select r, i, count(*) over (partition by h) as c from w2) where c > 1),
+e2 as (select r, i, i - lag(i) over (partition by r order by i) as gap from k2),
+n2 as (select r, sum(case when gap is null or gap > 250 then 250 else gap end) as passage from e2 group by r)
 select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
-  cast(coalesce(n, 0) as bigint) as n_spans, sha256(unhex(coalesce(x, ''))) as kept_sha256
-from d left join n using (r) left join kept using (r)
+  cast(coalesce(n, 0) as bigint) as n_spans, sha256(unhex(coalesce(x, ''))) as kept_sha256, cast(coalesce(passage, 0) as bigint) as n_passage
+from d left join n using (r) left join kept using (r) left join n2 using (r)
 """
 
 OP4_SQL = """
