@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blocks, documents, flat, utf8
+from .common import blocks, boxed, documents, flat, unboxed, utf8
 from .samples import held_out, labelled
 
 FILTERS = 16
@@ -20,6 +21,8 @@ HALF = 128
 HIDDEN = 16
 #: A byte recurs if the four bytes that end at it stood up to so many bytes before.
 LAGS = range(2, 41)
+#: Bytes of a text that are looked at together, a multiple of HALF; a longer one is worked on in parts.
+LONG = 1 << 20
 STEPS = 160
 RATE = 0.01
 
@@ -90,6 +93,16 @@ class Network:
         means = np.concatenate((sums, recs[:, None]), axis=1) / length[:, None].astype(np.float32)
         return (means, length, start, first, act) if keep else (means, length, start, first)
 
+    def long_means(self, raw: np.ndarray) -> np.ndarray:
+        """The half chunks' means of one long text, LONG bytes at a time: each part is read with a half chunk before and behind it."""
+        out = []
+        for a in range(0, len(raw), LONG):
+            low, z = max(0, a - HALF), min(len(raw), a + LONG)
+            part = raw[low : min(len(raw), z + HALF)]
+            skip = (a - low) // HALF
+            out.append(self.pooled(part, np.array([0, len(part)]))[0][skip : skip + -(-(z - a) // HALF)])
+        return np.concatenate(out)
+
     @staticmethod
     def chunked(means: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of two neighbouring halves of a row (a row of one half is one chunk): their means, and the right half of each."""
@@ -103,7 +116,11 @@ class Network:
         out = np.empty(len(offsets) - 1)
         for i, j in blocks(offsets, 1 << 18):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            means, _, _, first = self.pooled(part, at)
+            if len(part) > LONG:
+                means = self.long_means(part)
+                first = np.array([0, len(means)])
+            else:
+                means, _, _, first = self.pooled(part, at)
             chunks, _ = self.chunked(means, first)
             hidden = np.maximum(chunks @ self.dense + self.dense_bias, 0)
             out[i:j] = np.maximum.reduceat(hidden, first[:-1], axis=0) @ self.out + self.out_bias
@@ -164,19 +181,29 @@ def learn_quality(docs: DataFrame, labels: DataFrame) -> Network:
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
     """docs with score double (0 to 1, higher: better) as a last column; null and empty texts get the score of a text without bytes.
 
-    Every whole text is read. All columns of docs stay, whatever their names; an own column `score` of docs is replaced.
+    Every whole text is read, very long ones in parts. All columns of docs stay, whatever their names; an own column `score` of docs is replaced. Repeated rows
+    each get a row, equal texts equal scores; an empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*keep).schema
+    rows = boxed(docs, "text").select("row", utf8("k0").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.scores(*flat(b.column(1))))], ["row", "score"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return out.select(*(F.col(f"row.c{i}") for i, c in enumerate(docs.columns) if c != "score"), "score").toDF(*keep, "score")
+
+
+def kept(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
+    """docs without those that score under `least`. All columns stay as they are, one named score too; else as score_quality."""
+    rows = boxed(docs, "text").select("row", utf8("k0").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array(net.scores(*flat(b.column(b.num_columns - 1))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*(f"c{i}" for i in range(len(keep))), "score"])
+            yield b.select([0]).filter(pa.array(net.scores(*flat(b.column(1))) >= least))
 
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), utf8().alias("t"))
-    out = plain.mapInArrow(run, ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema.fields)) + ", score double")
-    return out.toDF(*keep, "score")
+    return unboxed(rows.mapInArrow(run, StructType([rows.schema["row"]])), docs.columns)
 
 
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
