@@ -52,37 +52,78 @@ def raw(t):
     return (t or "").encode()
 
 
+def runs_of(rows, window):
+    seen = Counter(raw(t)[k : k + window] for t in rows for k in range(len(raw(t)) - window + 1))
+    return [suffix_dedup.merged([{"a": k, "b": k + 1} for k in range(len(raw(t)) - window + 1) if seen[raw(t)[k : k + window]] > 1], window) for t in rows]
+
+
 def test_suffix_dedup(docs, none, rows):
-    seen = Counter(raw(t)[k : k + 400] for _, t, *_ in rows for k in range(len(raw(t)) - 399))
+    texts = [t for _, t, *_ in rows]
     want = []
-    for i, t, *_ in rows:
-        b = raw(t)
-        runs = suffix_dedup.merged([{"a": k, "b": k + 1} for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1])
-        want.append((i, len(b), sum(y - x for x, y in runs), len(runs), hashlib.sha256(suffix_dedup._kept(b, runs)).hexdigest()))
-    own = lambda d: [tuple(r) for r in suffix_dedup.with_spans(d.select("doc_id", "text")).select("doc_id", "t", "spans").mapInArrow(suffix_dedup._digests, suffix_dedup._DIGEST).collect()]
+    for (i, t, *_), runs, short in zip(rows, runs_of(texts, 400), runs_of(texts, suffix_dedup.PASSAGE), strict=True):
+        want.append((i, len(raw(t)), sum(y - x for x, y in runs), len(runs), hashlib.sha256(suffix_dedup._kept(raw(t), runs)).hexdigest(), sum(y - x for x, y in short)))
+    own = lambda d: [tuple(r) for r in suffix_dedup.spanned(d.select("doc_id", suffix_dedup.utf8().alias("t")), (400, suffix_dedup.PASSAGE), suffix_dedup.PASSAGE_GRAM).select("doc_id", "t", "spans0", "spans1").mapInArrow(suffix_dedup._digests, suffix_dedup._DIGEST).collect()]
     key = lambda r: (r[0] is None, r)
     assert sorted(own(docs), key=key) == sorted(want, key=key)
     assert own(none) == []
-    left = suffix_dedup.without_repeats(docs)
-    assert left.columns == docs.columns and left.where("text is null").count() == 1
 
 
-def test_heavy_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HEAVY", 3)
+@pytest.mark.parametrize(("window", "gram"), [(400, 152), (250, 100), (40, 16)])
+def test_without_repeats(spark, none, rows, window, gram):
+    # Names that helpers could have, a column twice, and rows that differ in them only.
+    names = ["doc_id", "text", "lang", "source", "n_chars", "key", "t", "spans0", "row", "k0", "cell"]
+    wide = [(*r, k, "t", "s", "r", "k", k) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, key int, t string, spans0 string, row string, k0 string, cell int").repartition(3)
+    left = suffix_dedup.without_repeats(df, window, gram)
+    assert left.columns == names
+    want = {}
+    for r, runs in zip(wide, runs_of([r[1] for r in rows], window), strict=True):
+        rest = suffix_dedup.whole_characters(raw(r[1]), runs) if r[1] is not None else None
+        if not runs or rest:
+            want[r[5]] = (r[0], rest, *r[2:4], r[4] if r[1] is None else len(rest), *r[5:])
+    assert {r.key: tuple(r) for r in left.collect()} == want
+    assert suffix_dedup.without_repeats(none, window, gram).count() == 0
+
+
+def test_copies_are_removed_whole_and_long_texts_in_parts(spark, monkeypatch):
+    r = random.Random(8)
+    one, long = prose(r, 90), prose(r, 3000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 12)
+    texts = [one, one, one, "x" + one, long, prose(r, 20) + long[500:9000], "a" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {x.doc_id: suffix_dedup.merged(x.spans) for x in suffix_dedup.with_spans(df).collect()}
+    assert [got[i] for i in range(len(texts))] == runs_of(texts, 400)
+
+
+@pytest.mark.parametrize("heavy", [3, 8192])
+def test_heavy_anchors(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     r = random.Random(1)
     core = prose(r, 60)
-    docs = spark.createDataFrame([(i, prose(r, 20) + core + prose(r, 20)) for i in range(9)], "doc_id long, text string")
-    out = suffix_dedup.with_spans(docs).select("doc_id", "t", "spans").collect()
-    runs = [suffix_dedup.merged(x.spans) for x in out]
-    assert all(len(x) == 1 and x[0][1] - x[0][0] >= len(core) for x in runs)
+    texts = [prose(r, 20) + core[i % 3 :] + prose(r, 20)[: i * 40] for i in range(9)] + [core[:320] + "y", "z" + core[10:300]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", suffix_dedup.utf8().alias("t"))
+    out = sorted(suffix_dedup.spanned(rows, (400, 250), 100).collect(), key=lambda x: x.doc_id)
+    assert [suffix_dedup.merged(x.spans0, 400) for x in out] == runs_of(texts, 400)
+    assert [suffix_dedup.merged(x.spans1, 250) for x in out] == runs_of(texts, 250)
+
 
+def test_passage_of_51_words(spark):
+    """A passage of 51 words goes from every document that holds it, and documents without one stay as they are."""
+    r = random.Random(12)
+    passage = " ".join(r.choice(["that", "with", "from", "into"]) + r.choice("aeiou") for _ in range(51))
+    assert suffix_dedup.PASSAGE <= len(passage) < suffix_dedup.WINDOW
+    texts = [prose(r, 80) + f" {passage} " + prose(r, 80) if i % 2 else prose(r, 160) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {x.doc_id: x.text for x in suffix_dedup.without_repeats(df, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM).collect()}
+    assert all(passage not in left[i] for i in range(1, 40, 2)) and all(left[i] == texts[i] for i in range(0, 40, 2))
 
-def brute_links(texts):
+
+def brute_links(texts, size=4, percent=85):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append(frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else []))
-    return sets, [(a, b) for a, b in combinations(range(len(sets)), 2) if (sets[a] or sets[b]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    return sets, [(a, b) for a, b in combinations(range(len(sets)), 2) if (sets[a] or sets[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
 
 
 @pytest.mark.parametrize("light", [32, 1])
@@ -105,6 +146,43 @@ def test_ngram_join(docs, none, rows, light, monkeypatch):
     kept = [r.doc_id for r in ngram_join.keep_one(docs).collect()]
     words = {i for (i, *_), s in zip(rows, sets, strict=True) if not s}
     assert sorted(kept) == sorted({c for (_, n, c) in want if n} | words)
+    assert ngram_join.keep_one(none).count() == 0
+    # Any names, and repeated rows that differ elsewhere: one stays, with its own values.
+    odd = ngram_join.keep_one(docs.selectExpr("*", "doc_id as id", "text as h", "hash(text) as row", "1 as k0", "rand() as __own", "'g' as g"))
+    assert odd.columns[5:] == ["id", "h", "row", "k0", "__own", "g"] and sorted(r.doc_id for r in odd.collect()) == sorted(kept)
+
+
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (2, 60)])
+def test_other_shingles(spark, size, percent):
+    r = random.Random(21)
+    base = [prose(r, 60).split(" ") for _ in range(6)]
+    texts = []
+    for w in base * 6:
+        w = list(w)
+        for _ in range(r.randrange(6)):
+            w[r.randrange(len(w))] = "other"
+        texts.append(" ".join(w[: r.randrange(50, 61)]))
+    texts += ["a b", "a b", "A  B", "x" * 300 + " y", "x" * 300 + " y", None]
+    sets, links = brute_links(texts, size, percent)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = Counter(i for link in links for i in link)
+    assert {x.doc_id: x.n_links for x in ngram_join.ngram_components(df, True, size, percent).collect()} == {i: want[i] for i in range(len(texts))}
+
+
+def test_rows_that_cannot_pair_go():
+    """_shared, in batches of any size, keeps both rows of every first shared token of two sets that can link."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    rows = sorted({(r.randrange(8), r.randrange(5, 60), r.randrange(12), bytes([r.randrange(40)]) * ngram_join.NAME) for _ in range(400)})
+    rows = [x for i, x in enumerate(rows) if x[3] not in {y[3] for y in rows[:i] if y[0] == x[0]}]
+    rows = sorted(rows + rows[::7])
+    need = lambda a, b: -(-85 * (a + b) // 185)
+    want = {a for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and min(a[1], b[1]) * 100 >= max(a[1], b[1]) * 85 and min(a[1] - a[2], b[1] - b[2]) >= need(a[1], b[1])}
+    for step in (1, 3, 50, 1000):
+        parts = (pa.RecordBatch.from_arrays([pa.array([x[0] for x in p], pa.int64()), pa.array([x[3] for x in p], pa.binary()), pa.array([x[1] for x in p], pa.int32()), pa.array([x[2] for x in p], pa.int32())], ["token", "node", "n", "pos"]) for p in (rows[i : i + step] for i in range(0, len(rows), step)))
+        out = [(t, n, p, node) for b in ngram_join._shared()(parts) for t, node, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(out) == len(set(out)) and want <= set(out) <= set(rows) and (step == 1 or len(out) < len(set(rows)))
 
 
 @pytest.mark.parametrize("block", [128, 3])
@@ -192,7 +270,7 @@ def test_slot_map_is_stored(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "maps")).groupBy("version").count().count() == 2
 
 
-def test_mixing(docs, none, rows):
+def test_mixing(spark, docs, none, rows):
     assert mixing.weights(["b", None, "a", "c", "d"]) == {"a": 1, "b": 2, "c": 3, "d": 1, None: 2}
     assert mixing.targets({"a": 100, "b": 1}, {"a": 1, "b": 2}) == {"a": Fraction(98), "b": Fraction(3)}
     assert mixing.sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
@@ -203,17 +281,53 @@ def test_mixing(docs, none, rows):
         for _ in range(seats):
             plain[max(votes, key=lambda k: (Fraction(votes[k], 2 * plain[k] + 1), -k))] += 1  # noqa: B023
         assert mixing.sainte_lague(votes, seats) == plain
-    out = mixing.mix_sources(docs, shards=4).collect()
-    again = mixing.mix_sources(docs.repartition(5), shards=4).collect()
+    out = mixing.mix_sources(docs, shards=4, block=16).collect()
+    again = mixing.mix_sources(docs.repartition(5), shards=4, block=16).collect()
     assert Counter((x.doc_id, x.h, x.taken) for x in out) == Counter((x.doc_id, x.h, x.taken) for x in again)
     assert len(out) == len(rows) and all(0 <= x.taken <= 3 * x.size for x in out)
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words_of(t))
+    want = mixing.targets(dict(sizes), mixing.weights(list(sizes)))
     for s in {x.source for x in out}:
         own = [x for x in out if x.source == s]
-        assert abs(sum(x.taken for x in own) - own[0].target) <= 0.01 * own[0].target + 20
-    assert mixing.mix_sources(none).count() == 0
-    made = mixing.mixed(docs, shards=4).collect()
-    total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x.text or "")) for x in made)
-    assert total == sum(x.taken for x in out)
+        assert own[0].source_size == sizes[s] and own[0].target == float(want[s])
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 16
+    assert sorted((x.doc_id, x.size) for x in out if x.doc_id is not None) == sorted((i, len(words_of(t))) for i, t, *_ in rows if i is not None)
+    assert mixing.mix_sources(none).count() == 0 and mixing.mixed(none).count() == 0
+    # Rows that differ in one column only keep their own values, whatever the columns are called.
+    wide = [(*r, k, "x", "y", "z") for k, r in enumerate(rows)]
+    df = spark.createDataFrame(wide, KIND + ", __id int, __sum string, row string, key string").repartition(3)
+    made = mixing.mixed(df, shards=4, block=16)
+    assert made.columns == df.columns
+    made = made.collect()
+    assert sum(len(words_of(x.text)) for x in made) == sum(x.taken for x in out)
+    for x in made:
+        t = rows[x["__id"]][1]
+        assert x.doc_id == rows[x["__id"]][0] and x.n_chars == len(x.text) and (x.text == t or all(p in t for p in x.text.split("\n") if " \n" not in t))
+    assert all(sum(len(words_of(x.text)) for x in made if x["__id"] == k) <= 3 * len(words_of(r[1])) for k, r in enumerate(rows))
+
+
+def test_blocks_are_chosen_by_a_seeded_order():
+    for n in (1, 2, 7, 64, 1000):
+        step, first = mixing.steps(1, "a", 3, n)
+        assert sorted((step * b + first) % n for b in range(n)) == list(range(n))
+    assert mixing.steps(1, "a", 3, 1000) != mixing.steps(2, "a", 3, 1000)
+
+
+def test_quality_filter_keeps_columns(spark, docs, none, monkeypatch):
+    net = quality.Network.new()
+    df = docs.selectExpr("*", "doc_id as score", "'t' as t", "1 as row")
+    left = quality.kept(df, net, 0.5)
+    score = {(x.doc_id, x.text): x.score for x in quality.score_quality(docs, net).collect()}
+    want = Counter(tuple(x) for x in df.collect() if score[x.doc_id, x.text] >= 0.5)
+    assert left.columns == df.columns and Counter(tuple(x) for x in left.collect()) == want
+    assert quality.kept(none, net).count() == 0
+    text = np.frombuffer(b"abcde fghij klmno " * 500, np.uint8)
+    whole = net.scores(text, np.array([0, len(text)]))
+    monkeypatch.setattr(quality, "LONG", 1024)
+    assert np.allclose(net.scores(text, np.array([0, len(text)])), whole, atol=1e-6)
 
 
 def test_gif(spark, docs, none, rows):
