@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -57,6 +57,21 @@ def sniff(head: bytes | None) -> str:
     return UNKNOWN if _BINARY.search(head) else "text/plain; charset=utf-8"
 
 
+def sniffed(content: Column) -> Column:
+    """sniff as one expression, over a binary column: the first bytes are read as Latin-1, in which each byte is one character."""
+    head = F.decode(F.substring(content, 1, SNIFF), "ISO-8859-1")
+    text = F.regexp_replace(head, r"^[\t\n\f\r ]+", "")
+    java = lambda p: p.pattern.decode("latin-1")
+    out = F.when(content.isNull(), UNKNOWN).when(text.rlike("(?i)^(?:" + java(_HTML) + ")"), "text/html; charset=utf-8").when(text.rlike("(?i)^" + java(_XML)), "text/xml; charset=utf-8")
+    for pattern, kind in _HEADS:
+        out = out.when(head.rlike("(?s)^(?:" + java(pattern) + ")"), kind)
+    size = F.conv(F.hex(F.substring(content, 1, 4)), 16, 10).cast("long")
+    n = F.char_length(head)
+    fits = (n >= 12) & (size % 4 == 0) & (size >= 12) & (size <= n) & (F.substring(head, 5, 4) == "ftyp")
+    brands = F.exists(F.sequence(F.lit(8), F.greatest(F.least(size, n).cast("int") - 1, F.lit(8)), F.lit(4)), lambda i: (i != 12) & (F.substr(head, i + 1, F.lit(3)) == "mp4"))
+    return out.when(F.when(fits, brands).otherwise(False), "video/mp4").when(head.rlike(java(_BINARY)), UNKNOWN).otherwise("text/plain; charset=utf-8")
+
+
 Extractor = Callable[[str, bytes | None], dict]
 EXTRACTORS: dict[str, Extractor] = {"metadata": lambda path, head: {"mime": sniff(head)}}
 
@@ -75,8 +90,10 @@ EXTRACTORS["helper"] = _helper
 def extracted(files: DataFrame, extractor: str = "metadata") -> DataFrame:
     """(path, title, mime, size, error) of files (rel, content binary, size); a failing extractor gives rows with error.
 
-    Only the heads go to Python.
+    The media types of `metadata` are found in the JVM; for other extractors the heads go to Python.
     """
+    if extractor == "metadata":
+        return files.select(F.col("rel").alias("path"), paths.title(paths.name(F.col("rel"))).alias("title"), sniffed(F.col("content")).alias("mime"), "size", F.lit(None).cast("string").alias("error"))
     own = EXTRACTORS[extractor]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims, paths
+from ..sources import store
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "seq", parts: int | None = None) -> DataFrame:
-    """Adds 0, 1, 2, ... in the given order, without one task that sees all rows: ranks in ranges, set off by the ranges' counts."""
+    """Adds 0, 1, 2, ... in the given order, without one task that sees all rows: places in sorted ranges, set off by the ranges' counts.
+
+    The ranges are stored once, so the numbers stand even if a range would be cut otherwise when an executor is lost or the input changes.
+    """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__k", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    ranged = keyed.repartitionByRange(n, "__k").sortWithinPartitions("__k").withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__b"))
-    own = Window.partitionBy("__p").orderBy("__k")
-    out = ranged.withColumn("__r", F.row_number().over(own) - 1).join(F.broadcast(before.withColumnRenamed("__p", "__q")), F.col("__p") == F.col("__q"))
-    return out.withColumn(name, (F.col("__b") + F.col("__r")).cast("long")).drop("__k", "__p", "__q", "__b", "__r")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
+    ranged = store.stored(rows.repartitionByRange(n, "k").sortWithinPartitions("k").select("row", F.monotonically_increasing_id().alias("at")))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # a row for each range
+    out = ranged.join(F.broadcast(before), part == F.col("part"))
+    return out.select("row.*", (F.col("before") + place).cast("long").alias(name))
 
 
 def pruned(manifest: DataFrame) -> DataFrame:
@@ -81,43 +86,63 @@ def family(dst: Column) -> Column:
     return F.concat(F.regexp_replace(paths.folded(base), "(_[0-9]+)+$", ""), F.lit("|"), paths.folded(ext))
 
 
-def unique_names(names: list[str], keys: list[str], bases: list[str], exts: list[str], base_keys: list[str], ext_keys: list[str]) -> list[str]:
-    """Greedy: each name in turn takes itself, or itself with the first free counter before its extension.
+_COUNTED = re.compile(r"(.*)_([1-9][0-9]*)", re.S)
 
-    keys are the names folded to lower case. A counter that was taken for a base stays taken, so each base goes on where it stopped.
+
+class Names:
+    """Names of one family given out in turn: each takes itself, or itself with the first free counter before its extension.
+
+    Held are the names that took themselves, and for each base the next counter to try: all counters before it are taken, so the
+    names made with them needn't be held.
     """
-    used: set[str] = set()
-    next_of: dict[tuple[str, str], int] = {}
-    out = []
-    for n, k, b, e, bk, ek in zip(names, keys, bases, exts, base_keys, ext_keys, strict=True):
-        if k not in used:
-            used.add(k)
-            out.append(n)
-            continue
-        i = next_of.get((bk, ek), 1)
-        while f"{bk}_{i}{ek}" in used:
+
+    def __init__(self) -> None:
+        self.plain: set[str] = set()
+        self.next_of: dict[tuple[str, str], int] = {}
+
+    def give(self, name: str, key: str, base: str, ext: str, base_key: str, ext_key: str) -> str:
+        """key, base_key and ext_key are folded to lower case."""
+        made = _COUNTED.fullmatch(base_key)
+        if key not in self.plain and not (made and int(made[2]) < self.next_of.get((made[1], ext_key), 1)):
+            self.plain.add(key)
+            return name
+        i = self.next_of.get((base_key, ext_key), 1)
+        while f"{base_key}_{i}{ext_key}" in self.plain:
             i += 1
-        next_of[bk, ek] = i + 1
-        used.add(f"{bk}_{i}{ek}")
-        out.append(f"{b}_{i}{e}")
-    return out
+        self.next_of[base_key, ext_key] = i + 1
+        return f"{base}_{i}{ext}"
+
+
+def unique_names(names: list[str], keys: list[str], bases: list[str], exts: list[str], base_keys: list[str], ext_keys: list[str]) -> list[str]:
+    """The names of one family, given out in turn."""
+    own = Names()
+    return [own.give(*row) for row in zip(names, keys, bases, exts, base_keys, ext_keys, strict=True)]
 
 
 def assign_unique(plan: DataFrame) -> DataFrame:
     """plan (seq, src, dst) with destinations that differ also when case is ignored, given out in the order of seq.
 
-    A family of names stays together, for a later name depends on all earlier ones; one task holds a family's names,
-    not its files. Families of one row, most of them, don't leave the JVM.
+    A family of names stays together, for a later name depends on all earlier ones. In a family without names that have a counter already,
+    the n-th row gets the counter n, in the JVM. The other families run through Python in the order of seq, batch by batch.
     """
-    df = plan.select("seq", "src", "dst").withColumn("family", family(F.col("dst")))
-    sizes = df.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("family")))
-    alone = sizes.where("members = 1").select("seq", "src", "dst")
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ext = paths.last_dot_ext(F.col("dst"))
     base = F.substr(F.col("dst"), F.lit(1), F.char_length("dst") - F.char_length(ext))
-    many = sizes.where("members > 1").select("seq", "src", "dst", "family", paths.folded(F.col("dst")).alias("k"), base.alias("b"), ext.alias("e"), paths.folded(base).alias("bk"), paths.folded(ext).alias("ek"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"seq": rows["seq"], "src": rows["src"], "dst": unique_names(*(rows[c].tolist() for c in ("dst", "k", "b", "e", "bk", "ek")))})
-
-    return alone.unionByName(many.groupBy("family").applyInPandas(fold, "seq long, src string, dst string"))
+    own = Window.partitionBy("family")
+    df = plan.select("seq", "src", "dst", family(F.col("dst")).alias("family"), base.alias("b"), ext.alias("e")).withColumn("bk", paths.folded(F.col("b")))
+    df = df.withColumn("counted", F.max(F.col("bk").rlike("_[0-9]+$")).over(own)).withColumn("place", F.row_number().over(own.orderBy("seq")) - 1)
+    plain = df.where("not counted").select("seq", "src", F.when(F.col("place") == 0, F.col("dst")).otherwise(F.concat("b", F.lit("_"), F.col("place").cast("string"), "e")).alias("dst"))
+    rest = df.where("counted").select("seq", "src", "dst", "family", paths.folded(F.col("dst")).alias("k"), "b", "e", "bk", paths.folded(F.col("e")).alias("ek"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, names = None, Names()
+        for rows in batches:
+            out = []
+            for own_family, *row in zip(*(rows[c] for c in ("family", "dst", "k", "b", "e", "bk", "ek")), strict=True):
+                if own_family != held:
+                    held, names = own_family, Names()
+                out.append(names.give(*row))
+            yield pd.DataFrame({"seq": rows["seq"], "src": rows["src"], "dst": out})
+
+    given = rest.repartition(n, "family").sortWithinPartitions("family", "seq").mapInPandas(fold, "seq long, src string, dst string")
+    return plain.unionByName(given)

@@ -109,6 +109,14 @@ def line_fields(done: Column, total: Column, done_bytes: Column, elapsed_ns: Col
     return [percent.cast("long").alias("percent"), bar.alias("bar"), rate.alias("rate")]
 
 
-def report(results: DataFrame) -> DataFrame:
-    """One row for a copy's results (bytes, error): items, failed, bytes and text."""
-    return results.agg(F.count(F.lit(1)).alias("items"), F.count("error").alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).withColumn("text", text.human_bytes(F.col("bytes")))
+def report(results: DataFrame, elapsed_ns: int = 0) -> DataFrame:
+    """One row for a copy's results (bytes, error): items, failed, bytes, and the closing line: bytes, duration, average rate."""
+    sums = results.agg(F.count(F.lit(1)).alias("items"), F.count("error").alias("failed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    spent = F.lit(elapsed_ns).cast("long")
+    rate = F.when(spent > 0, F.col("bytes") / (spent / 1e9)).otherwise(F.lit(0.0))
+    return sums.withColumn("text", F.concat(text.human_bytes(F.col("bytes")), F.lit(" in "), text.human_duration(spent), F.lit("  ·  "), text.human_rate(rate), F.lit(" average")))
+
+
+def failure_lines(results: DataFrame) -> DataFrame:
+    """(seq, line) of the items that failed, in plan order: what was to be copied and why it wasn't."""
+    return results.where("error is not null").select("seq", F.concat("src", F.lit(": "), "error").alias("line")).orderBy("seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,33 @@ def listing(tree: DataFrame, parent: str) -> DataFrame:
     return own.select((F.row_number().over(Window.partitionBy("parent").orderBy(paths.folded(F.col("name")), "name")) - 1).alias("place"), "name")
 
 
+def children(tree: DataFrame, parent: str) -> DataFrame:
+    """(place, name) of a directory's subdirectories, upper case before lower; bookkeeping ones are left out."""
+    own = tree.where((F.col("kind") == "dir") & (F.col("parent") == parent) & ~dims.is_metadata(F.col("name")))
+    return own.select((F.row_number().over(Window.partitionBy("parent").orderBy("name")) - 1).alias("place"), "name")
+
+
+def page(names: DataFrame, offset: int, height: int) -> DataFrame:
+    """The rows of a listing that a window of this height shows from an offset on."""
+    return names.where((F.col("place") >= offset) & (F.col("place") < offset + height))
+
+
+def expand(expanded: Iterable[str], dirs: DataFrame, path: str) -> set[str]:
+    """The expanded directories with one more, if it has a subdirectory to show; else nothing happens."""
+    held = set(expanded)
+    below = dirs.where((F.col("kind") == "dir") & (F.col("parent") == path) & ~dims.is_metadata(F.col("name")))
+    return held if below.isEmpty() else held | {path}
+
+
+def collapse(expanded: Iterable[str], path: str) -> tuple[set[str], str]:
+    """The expanded directories and the cursor: an expanded directory is shut; of one that is shut already its parent, to which the cursor goes."""
+    held = set(expanded)
+    if path in held:
+        return held - {path}, path
+    up = path.rpartition("/")[0]
+    return (held - {up}, up) if up else (held, path)
+
+
 def jump(names: DataFrame, cursor: int, letter: str) -> DataFrame:
     """The next row of a listing after the cursor, around the end, whose name begins with the letter, case ignored."""
     n = names.agg(F.count(F.lit(1)).alias("n"))

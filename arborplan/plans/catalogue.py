@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, paths, text
 from ..operators import dedup, extract, plan, progress, tree
-from ..sources import copy
+from ..sources import copy, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,7 +219,7 @@ def dedup_size_candidates(spark, sf):
 
 @query(f"with {SETS_SQL.format(head=256)} select seq, size, ph as head_hash from c2")
 def dedup_partial_groups(spark, sf):
-    return dedup.by_head(dedup.by_size(doc_files(spark, sf)), 256).select("seq", "size", "head_hash")
+    return dedup.by_head(doc_files(spark, sf), 256).select("seq", "size", "head_hash")
 
 
 @query(f"with {SETS_SQL.format(head=65536)} select size, keep, skip from sets")
@@ -236,7 +235,7 @@ def dedup_summary(spark, sf):
 @query(f"with {SETS_SQL.format(head=65536)} select doc_id as seq, source as src from documents where doc_id not in (select unnest(skip) from sets)")
 def dedup_filtered_plan(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("src"))
-    return dedup.resolved(rows, dedup.sets(doc_files(spark, sf)), "skip")
+    return dedup.resolved(rows, dedup.members(doc_files(spark, sf)), "skip")
 
 
 @query(f"with {ENTRIES_SQL} select parent, count(*) filter (kind <> 'dir') as files, count(*) filter (kind = 'dir') as dirs from entries where not {META_SQL.format(n='name')} group by parent")
@@ -335,7 +334,7 @@ m(job, rn, seq, last_at, last_bytes, rate, seen, moved) as (
       case when rate = 0 then (n.bytes - last_bytes) / ((n.elapsed_ns - last_at) / 1e9) else {progress.KEEP} * rate + (1 - {progress.KEEP}) * ((n.bytes - last_bytes) / ((n.elapsed_ns - last_at) / 1e9)) end else rate end,
     greatest(seen, n.bytes), case when n.bytes > seen then n.elapsed_ns else moved end
   from m join n on n.job = m.job and n.rn = m.rn + 1)
-select m.job, m.seq, round(rate, 3) as rate, log.elapsed_ns - moved as stalled_ns from m join log on log.job = m.job and log.seq = m.seq where rn > 0 and rn <= 400""")
+select m.job, m.seq, round(rate, 3) as rate, log.elapsed_ns - moved as stalled_ns from m join log on log.job = m.job and log.seq = m.seq where rn > 0""")
 def rate_meter(spark, sf):
     return progress.rates(progress_log(spark, sf)).select("job", "seq", F.round("rate", 3).alias("rate"), "stalled_ns")
 
@@ -376,14 +375,21 @@ def progress_phases(spark, sf):
     return progress.phases(table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("event_id").alias("seq")))
 
 
-@query()
+@query(f"""with recursive {LOG_SQL}, n as (select *, row_number() over (partition by job order by seq) as rn, lead(seq) over (partition by job order by seq) is null as final from log),
+m(job, rn, seq, elapsed_ns, shown, last_at) as (
+  select distinct job, cast(0 as bigint), cast(null as bigint), cast(null as bigint), false, cast(null as bigint) from n
+  union all
+  select n.job, n.rn, n.seq, n.elapsed_ns, n.final or last_at is null or n.elapsed_ns - last_at >= {progress.REDRAW_NS},
+    case when n.final or last_at is null or n.elapsed_ns - last_at >= {progress.REDRAW_NS} then n.elapsed_ns else last_at end
+  from m join n on n.job = m.job and n.rn = m.rn + 1)
+select job, seq, elapsed_ns from m where rn > 0 and shown""")
 def frame_throttle(spark, sf):
     return progress.drawn(progress_log(spark, sf))
 
 
 def shared_folder(spark: SparkSession) -> Path:
-    """A new folder that all executors reach by its path: in the cluster's folder for checkpoints, else a local one."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    """A new folder that all executors reach by its path: in the cluster's folder for checkpoints."""
+    there = store.folder(spark)
     at = urlparse(there)
     if at.scheme not in ("", "file"):
         raise ValueError(f"files can't be copied in {there}")
@@ -403,7 +409,8 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.select("rel", "content").foreachPartition(written)
 
 
-@query()
+@query(ORACLES["plan_flatten"].replace("select seq, src, dst from grown where rn > 0", """select g.seq, g.dst, case when g.seq = 7 then 0 else octet_length(encode(coalesce(p.text, ''))) end as bytes,
+  case when g.seq = 7 then 'FileNotFoundError' end as error_class from grown g join pruned p on p.rel = g.src where g.rn > 0"""))
 def copy_report(spark, sf):
     """Writes the planned documents as files, all but that of seq 7, and copies all of plan_flatten's rows. The report is stored, the files go."""
     folder = shared_folder(spark)

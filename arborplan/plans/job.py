@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, extract, plan
-from ..sources import copy, tree
+from ..sources import copy, store, tree
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class JobSpec:
     excluded: frozenset[str] = frozenset()  # relative to the source
     mode: str = "flat"  # or organize
     keep_tree: bool = False
-    duplicates: str = "all"  # or skip
+    duplicates: str = "all"  # or skip or cancel
     stall_s: float = copy.STALL_S
 
     def with_source(self, source: str) -> JobSpec:
@@ -31,8 +31,8 @@ class JobSpec:
         target = self.target or default_target(self.source)
         if within(self.source, target) or within(target, self.source):
             raise ValueError("source and target overlap")
-        if self.mode not in ("flat", "organize") or self.duplicates not in ("all", "skip"):
-            raise ValueError("mode is flat or organize, duplicates is all or skip")
+        if self.mode not in ("flat", "organize") or self.duplicates not in dedup.POLICIES:
+            raise ValueError("mode is flat or organize, duplicates is all, skip or cancel")
         return replace(self, target=target)
 
 
@@ -64,13 +64,14 @@ def manifest(spark: SparkSession, spec: JobSpec, stat: bool = False) -> DataFram
 
 def planned(spark: SparkSession, spec: JobSpec) -> DataFrame:
     """(seq, src, dst) as the job would copy; names are given out before duplicates go, and stay. Sizes are read only if duplicates are looked for."""
-    files = manifest(spark, spec, spec.duplicates == "skip").withColumn("src", F.concat(F.lit(spec.source.rstrip("/") + "/"), F.col("rel")))
+    look = spec.duplicates != "all"
+    files = manifest(spark, spec, look).withColumn("src", F.concat(F.lit(spec.source.rstrip("/") + "/"), F.col("rel")))
     rows = plan.ordered(files)
     named = plan.organised(rows, spec.keep_tree) if spec.mode == "organize" else plan.flattened(rows)
     out = plan.assign_unique(named)
-    if spec.duplicates == "skip":
+    if look:
         found, _ = copy.duplicate_files(rows.select("seq", "src", "size"), stall_s=spec.stall_s)
-        out = dedup.filtered(out, found)
+        out = dedup.resolved(out, found, spec.duplicates)
     return out
 
 
@@ -78,7 +79,7 @@ def run(spark: SparkSession, spec: JobSpec) -> DataFrame:
     """Results of the copy, a row for each file, made once."""
     spec = spec.checked()
     os.makedirs(spec.target, exist_ok=True)
-    return copy.copied(planned(spark, spec), spec.target, spec.stall_s).cache()
+    return store.stored(copy.copied(planned(spark, spec), spec.target, spec.stall_s))
 
 
 def inspect(spark: SparkSession, folder: str = ".") -> DataFrame:
@@ -86,7 +87,7 @@ def inspect(spark: SparkSession, folder: str = ".") -> DataFrame:
     if not os.path.isdir(folder):
         raise NotADirectoryError(folder)
     tree.register(spark)
-    files = spark.read.format("tree").option("path", folder).option("depth", "1").option("metadata", "true").option("stat", "true").option("content", "true").load()
+    files = spark.read.format("tree").option("path", folder).option("depth", "1").option("metadata", "true").option("stat", "true").option("content", "true").option("head", str(extract.SNIFF)).load()
     return extract.extracted(files.where("kind <> 'dir'")).where("error is null").drop("error").orderBy("path")
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 # Chunks of 256 KiB; files from 8 MiB on are copied in chunks; a minute without a byte is a stall; looked at each 100 ms.
 CHUNK = 256 * 1024
 LARGE = 8 * 1024 * 1024
@@ -65,7 +67,7 @@ def copy_file(src: str, dst: str, stall_s: float = STALL_S) -> int:
     part = f"{dst}.{uuid.uuid4().hex}.part"
 
     def job(tell: Callable[[int], None], gone: threading.Event) -> int:
-        with open(src, "rb") as f:
+        with open(src, "rb", buffering=0) as f:  # a buffered read would wait for a whole chunk, and a slow source would look stalled
             info = os.fstat(f.fileno())
             with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, info.st_mode & 0o777), "wb") as g:
                 if stall_s <= 0 and info.st_size < LARGE:
@@ -128,7 +130,7 @@ def hash_file(path: str, limit: int = -1, stall_s: float = STALL_S) -> str:
 
     def job(tell: Callable[[int], None], gone: threading.Event) -> str:
         h, left = hashlib.sha256(), limit if limit > 0 else None
-        with open(path, "rb") as f:
+        with open(path, "rb", buffering=0) as f:
             while not gone.is_set() and (data := f.read(CHUNK if left is None else min(CHUNK, left))):
                 h.update(data)
                 tell(len(data))
@@ -160,14 +162,25 @@ def hashed(files: DataFrame, limit: int = -1, stall_s: float = STALL_S) -> DataF
 
 
 def duplicate_files(files: DataFrame, head: int = 65536, stall_s: float = STALL_S) -> tuple[DataFrame, DataFrame]:
-    """(sets, unreadable) of files on disk (seq, src, size): only files that share a size are opened, only those that share a head are read whole."""
+    """(members, unreadable) of files on disk (seq, src, size): only files that share a size are opened, only those that share a head are read whole.
+
+    members: seq, size, keep, as operators.dedup says. What reading gave is stored once in the shared folder, so a lost executor has no file read again.
+    """
     from ..operators import dedup
 
-    heads = hashed(dedup.by_size(files.select("seq", "src", "size")), head, stall_s).cache()
+    heads = store.stored(hashed(dedup.by_size(files.select("seq", "src", "size")), head, stall_s))
     same = heads.where("hash is not null").join(heads.where("hash is not null").groupBy("size", "hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), ["size", "hash"])
     small = same.where(F.col("size") <= head).select("seq", "size", "hash")
-    wholes = hashed(same.where(F.col("size") > head), -1, stall_s).cache()
+    wholes = store.stored(hashed(same.where(F.col("size") > head), -1, stall_s))
     full = small.unionByName(wholes.where("hash is not null").select("seq", "size", "hash"))
-    grouped = full.groupBy("size", "hash").agg(F.array_sort(F.collect_list("seq")).alias("all")).where("size(all) > 1")
+    first = full.groupBy("size", "hash").agg(F.min("seq").alias("keep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     bad = heads.where("hash is null").select("seq", "src", "error").unionByName(wholes.where("hash is null").select("seq", "src", "error"))
-    return grouped.select("size", F.col("all")[0].alias("keep"), F.slice("all", F.lit(2), F.size("all") - 1).alias("skip")), bad
+    return full.join(first, ["size", "hash"]).select("seq", "size", "keep"), bad
+
+
+def hash_progress(files: DataFrame, head: int = 65536) -> DataFrame:
+    """(done, total) of a duplicate search over files (seq, size): a row for each candidate that is hashed, and the last with done = total. Without candidates 0 of 0."""
+    from ..operators import dedup
+
+    total = dedup.by_size(files.select("seq", "size")).agg(F.count(F.lit(1)).alias("total"))
+    return total.select(F.explode(F.sequence(F.least(F.lit(1), "total"), "total")).alias("done"), "total")

@@ -1,13 +1,18 @@
 """Scans, plans, copies and duplicates over real trees, the stream twin of the meter, and the catalogue's plan invariants."""
 
 import datetime
+import hashlib
 import os
+import threading
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from arborplan.operators import dedup, plan, progress
+from arborplan.operators import dedup, extract, plan, progress
+from arborplan.operators import tree as tree_ops
 from arborplan.plans import catalogue, job
-from arborplan.sources import copy
+from arborplan.sources import copy, tree
 from arborplan.streaming import rate
 
 
@@ -64,11 +69,63 @@ def test_duplicates(spark, tmp_path):
     grow(tmp_path, {"a": head + b"one", "b": head + b"two", "c": head + b"one", "d": b"x", "e": b"x", "f": b"", "g": b""})
     rows = [(i, str(tmp_path / n), (tmp_path / n).stat().st_size) for i, n in enumerate("abcdefg")] + [(7, str(tmp_path / "none"), 1)]
     files = spark.createDataFrame(rows, "seq long, src string, size long")
-    sets, bad = copy.duplicate_files(files, stall_s=0)
-    assert sorted((r.size, r.keep, r.skip) for r in sets.collect()) == [(1, 3, [4]), (65539, 0, [2])]
+    found, bad = copy.duplicate_files(files, stall_s=0)
+    assert sorted((r.size, r.keep, r.seq) for r in found.collect()) == [(1, 3, 3), (1, 3, 4), (65539, 0, 0), (65539, 0, 2)]
     assert [r.seq for r in bad.collect()] == [7]
     held = spark.createDataFrame([(i, s, None if i == 7 else bytes(open(p, "rb").read())) for i, p, s in rows], "seq long, size long, content binary")
     assert dedup.summary(held).collect()[0].asDict() == {"sets": 2, "files": 2, "bytes": 65540, "hashed": 8}
+    assert [tuple(r) for r in dedup.reported(dedup.sets(held)).collect()] == [(65539, 0, [2]), (1, 3, [4])]
+    # Sizes 1, 1, 1 and three of 65539 are candidates; the last announces as many as there are.
+    steps = [tuple(r) for r in copy.hash_progress(files).collect()]
+    assert steps == [(k, 6) for k in range(1, 7)]
+    plan_df = files.select("seq")
+    assert sorted(r.seq for r in dedup.resolved(plan_df, dedup.members(held), "skip").collect()) == [0, 1, 3, 5, 6, 7]
+    assert dedup.resolved(plan_df, dedup.members(held), "cancel").count() == 0
+    assert dedup.resolved(plan_df, dedup.members(held.where("seq < 2")), "cancel").count() == 8
+
+
+def test_only_what_must_be_is_read(spark, tmp_path):
+    """Unique sizes are never opened; equal heads are read whole, unlike heads aren't. Readable by the files' access times of a folder where nobody may open others."""
+    head = bytes(65536)
+    cases = {
+        "sizes": {"a": b"1", "b": b"22", "c": b"333"},
+        "heads": {"a": b"\1" * 262144, "b": b"\2" * 262144, "c": b"\3" * 262144},
+        "wholes": {"a": head + b"one", "b": head + b"two", "c": head + b"one"},
+    }
+    for name, want in (("sizes", 0), ("heads", 3), ("wholes", 6)):
+        grow(tmp_path / name, cases[name])
+        rows = [(i, str(tmp_path / name / n), len(d)) for i, (n, d) in enumerate(cases[name].items())]
+        files = spark.createDataFrame(rows, "seq long, src string, size long")
+        opened = spark.sparkContext.accumulator(0)
+        inner = copy.hashed
+
+        def hashed(df, limit=-1, stall_s=0, inner=inner, opened=opened):
+            out = inner(df, limit, stall_s)
+
+            def count(batches):
+                for b in batches:
+                    opened.add(len(b))
+                    yield b
+
+            return out.mapInPandas(count, out.schema)
+
+        copy.hashed = hashed
+        try:
+            found, _ = copy.duplicate_files(files, stall_s=0)
+            found.count()
+        finally:
+            copy.hashed = inner
+        assert opened.value == want, name
+
+
+def test_contents_are_not_shuffled(spark):
+    held = spark.createDataFrame([(0, 3, b"abc"), (1, 3, b"abc"), (2, 1, b"x")], "seq long, size long, content binary")
+    for df in (dedup.members(held), dedup.summary(held), dedup.by_head(held)):
+        plan_text = df._jdf.queryExecution().executedPlan().toString()
+        lines = plan_text.split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                assert "content" not in lines[i + 1].split("AS")[0] or "sha2" in lines[i + 1], lines[i : i + 2]
 
 
 def test_plan_is_greedy(spark):
@@ -135,3 +192,87 @@ def test_copy_report_covers_the_plan(spark):
     assert got.keys() == want.keys() and got.pop(7).error_class == "FileNotFoundError"
     assert {k: (r.dst, r.bytes) for k, r in got.items()} == {k: v for k, v in want.items() if k != 7}
     assert all(r.error_class is None for r in got.values())
+
+
+def test_large_family_without_counters(spark):
+    """A hundred thousand files of one name are numbered in the JVM, and rows with counters of their own in a stream."""
+    df = spark.range(100_000).selectExpr("id as seq", "cast(id as string) as src", "if(id % 2 = 0, 'README.md', 'readme.MD') as dst")
+    got = plan.assign_unique(df)
+    assert "MapInPandas" in got._jdf.queryExecution().toString()
+    assert got.select(F.lower("dst")).distinct().count() == 100_000
+    assert {r.seq: r.dst for r in got.where("seq in (0, 1, 99999)").collect()} == {0: "README.md", 1: "readme_1.MD", 99999: "readme_99999.MD"}
+
+
+def test_numbers_are_kept(spark):
+    df = spark.range(1000).selectExpr("id as k", "hash(id) as part", "id as __k")
+    got = plan.numbered(df, F.col("part"), F.col("k"), parts=7)
+    want = [r.k for r in df.orderBy("part", "k").collect()]
+    assert got.columns == ["k", "part", "__k", "seq"] and [r.k for r in got.orderBy("seq").collect()] == want
+    assert [r.seq for r in got.orderBy("seq").collect()] == list(range(1000))
+
+
+def test_sniffed_equals_sniff(spark):
+    heads = [None, b"", b"  \n<!doctype html>", b"<HTML>", b"<htmlx", b"<!-- x", b"<?xml ?>", b"%PDF-1", b"\xfe\xffab", b"\xef\xbb\xbfa", b"GIF87a", b"GIF88a", b"RIFFabcdWEBPVP8", b"RIFF\n\0\x85\xffWAVE",
+             b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xe0", b"ID3", b"\x00\x00\x00\x18ftypmp42abcdmp41isom", b"\x00\x00\x00\x10ftypisommp42", b"\x00\x00\x00\x14ftypisomabcdmp42", b"\x00\x00\x00\xffftypmp42", b"PK\x03\x04", b"a\x00b", b"plain \xc3\xa9", b"\x1bx", b"\x85\n<b>", b"a\n" * 300 + b"\x00"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, content binary")
+    got = {r.i: r.m for r in df.select("i", extract.sniffed(F.col("content")).alias("m")).collect()}
+    assert got == {i: extract.sniff(h) for i, h in enumerate(heads)}
+
+
+def test_inspect_reads_heads_only(spark, tmp_path):
+    grow(tmp_path, {"a_b.html": b"<html>" + b"x" * 5000, ".DS_Store": b"\0", "sub/c.txt": b"c", "d.gif": b"GIF89a"})
+    rows = [tuple(r) for r in job.inspect(spark, str(tmp_path)).collect()]
+    assert rows == [(".DS_Store", "", "application/octet-stream", 1), ("a_b.html", "a b", "text/html; charset=utf-8", 5006), ("d.gif", "d", "image/gif", 6)]
+    read = spark.read.format("tree").option("path", str(tmp_path)).option("content", "true").option("head", "512").load()
+    assert max(len(r.content) for r in read.where("kind = 'file'").collect()) == 512
+
+
+def test_one_large_subtree_is_split(spark, tmp_path):
+    grow(tmp_path / "s", {f"only/d{i}/f{j}.txt": b"x" for i in range(12) for j in range(3)} | {"only/._m/x": b"x", "top.txt": b"x"})
+    tree.register(spark)
+    df = spark.read.format("tree").option("path", str(tmp_path / "s")).option("dirs", "true").option("bundles", "8").load()
+    assert df.rdd.getNumPartitions() == 8
+    got = sorted(r.rel for r in df.collect())
+    assert got == sorted(["top.txt", "only", *(f"only/d{i}" for i in range(12)), *(f"only/d{i}/f{j}.txt" for i in range(12) for j in range(3))])
+    out = spark.read.format("tree").option("path", str(tmp_path / "s")).option("dirs", "true").option("exclude", "only/d3").option("depth", "2").load()
+    assert sorted(r.rel for r in out.collect()) == sorted(["top.txt", "only", *(f"only/d{i}" for i in range(12) if i != 3)])
+
+
+def test_report_and_failures(spark):
+    rows = spark.createDataFrame([(1, "b", 0, "gone"), (0, "a", 52_400_000, None), (2, "c", 0, "no data for 1s")], "seq long, src string, bytes long, error string")
+    assert progress.report(rows, 2_000_000_000).collect()[0].asDict() == {"items": 3, "failed": 2, "bytes": 52_400_000, "text": "52.4 MB in 2s  ·  26.2 MB/s average"}
+    assert [r.line for r in progress.failure_lines(rows).collect()] == ["b: gone", "c: no data for 1s"]
+
+
+def test_tree_rows(spark):
+    df = tree_ops.entries(spark.createDataFrame([("B/x",), ("a/y",), ("a/k/z",), ("c/.Trashes/z",), (".Trashes/q",)], "rel string"))
+    assert [r.name for r in tree_ops.children(df, "").orderBy("place").collect()] == ["B", "a", "c"]
+    assert [r.name for r in tree_ops.page(tree_ops.children(df, ""), 1, 5).orderBy("place").collect()] == ["a", "c"]
+    assert tree_ops.expand({"B"}, df, "a") == {"B", "a"} and tree_ops.expand({"B"}, df, "c") == {"B"}
+    assert tree_ops.collapse({"a", "a/k"}, "a") == ({"a/k"}, "a") and tree_ops.collapse({"a"}, "a/k") == (set(), "a") and tree_ops.collapse(set(), "a") == (set(), "a")
+
+
+def test_stall_cases(tmp_path):
+    def feed(times, gap):
+        path = str(tmp_path / f"pipe{times}{gap}")
+        os.mkfifo(path)
+
+        def write():
+            with open(path, "wb", buffering=0) as f:
+                for _ in range(times):
+                    f.write(bytes(1024))
+                    time.sleep(gap)
+                if times < 12:
+                    time.sleep(1.5)
+
+        threading.Thread(target=write, daemon=True).start()
+        return path
+
+    # Moving slowly is no stall; a dribble that stops is one, and leaves no target.
+    assert copy.copy_file(feed(12, 0.1), str(tmp_path / "slow"), 0.8) == 12288
+    with pytest.raises(copy.Stalled):
+        copy.copy_file(feed(2, 0.05), str(tmp_path / "stopped"), 0.5)
+    assert not (tmp_path / "stopped").exists()
+    (tmp_path / "large").write_bytes(bytes(range(256)) * 40000)
+    assert copy.copy_file(str(tmp_path / "large"), str(tmp_path / "copy"), 5) == 10_240_000 and (tmp_path / "copy").read_bytes() == (tmp_path / "large").read_bytes()
+    assert copy.hash_file(str(tmp_path / "large"), 100, 5) == hashlib.sha256((bytes(range(256)) * 40000)[:100]).hexdigest()
