@@ -7,12 +7,13 @@ shard holds which slot. Rebalancing edits the map: only the slots it names move.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_crc32, utf8
+from .common import documents, shared_dir, text_crc32, utf8
 
 SLOTS = 4096
 #: A slot with more than this part of a shard's even share of bytes is split, up to SPLITS ways.
@@ -73,7 +74,18 @@ class SlotMap:
 
     def store(self, spark: SparkSession, path: str) -> None:
         """Adds this version to the maps under path."""
-        self.table(spark).withColumn("shards", F.lit(self.shards)).coalesce(1).write.parquet(f"{path}/version={self.version:06d}", mode="errorifexists")
+        meta = spark.createDataFrame([(None, None, self.shards), *((s, w, None) for s, w in sorted(self.splits.items()))], "vslot int, ways int, shards int")
+        rows = self.table(spark).drop("version").unionByName(meta, allowMissingColumns=True)
+        rows.coalesce(1).write.parquet(f"{path}/version={self.version:06d}", mode="errorifexists")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A stored version, the latest unless said. A map has at most a row for each slot and split."""
+        stored = spark.read.option("basePath", path).parquet(path)
+        version = stored.agg(F.max("version")).collect()[0][0] if version is None else version
+        rows = stored.where(F.col("version") == version).collect()
+        shards = next(r.shards for r in rows if r.shards is not None)
+        return SlotMap(shards, {r.vslot: r.shard for r in rows if r.shard is not None}, {r.vslot: r.ways for r in rows if r.ways is not None}, version)
 
 
 def first_map(bytes_of: dict[int, int], shards: int, splits: dict[int, int] | None = None) -> SlotMap:
@@ -93,13 +105,14 @@ def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tuple[DataFrame, SlotMap, dict[int, int]]:
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap, dict[int, int]]:
     """All documents with their virtual slot and shard (law `bytes`), the map, and the bytes of each slot.
 
     Size is the text's UTF-8 bytes plus 1; a null text has size 1. Slots x splits bounds what reaches the
     driver, whatever the input. Equal texts share a shard unless their slot alone exceeds SPLIT_SHARE of a shard's
     even part. Repeated rows each count. A null doc_id is dealt as -1. An empty table gives no rows. Columns of
-    docs other than doc_id and text are not read, so clashing names are harmless.
+    docs other than doc_id and text are not read, so clashing names are harmless. Very long texts are only measured.
+    With a path each version of the map is stored under it, and rows are dealt by the latest one as it is read back.
     """
     spark = docs.sparkSession
     rows = slotted(docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), text_crc32().alias("text_crc32")), slots)
@@ -113,7 +126,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> tup
         ways = F.lit(1)
     rows = rows.withColumn("vslot", F.col("vslot0") + F.lit(slots) * F.pmod("salt", ways)).drop("vslot0", "salt")
     bytes_of = {r.vslot: r.b for r in rows.groupBy("vslot").agg(F.sum("size").alias("b")).collect()} if splits else whole
-    slot_map = first_map(bytes_of, shards, splits).rebalanced(bytes_of)
+    slot_map = first_map(bytes_of, shards, splits)
+    if path:
+        slot_map.store(spark, path)
+        if (edited := SlotMap.load(spark, path).rebalanced(bytes_of)).version > slot_map.version:
+            edited.store(spark, path)
+        slot_map = SlotMap.load(spark, path)
+    else:
+        slot_map = slot_map.rebalanced(bytes_of)
     table = F.broadcast(slot_map.table(spark).select("vslot", "shard"))  # at most SLOTS + heavy slots x SPLITS rows
     return rows.join(table, "vslot"), slot_map, bytes_of
 
@@ -129,5 +149,5 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def op6_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = shard_documents(documents(spark, sf_dir), 8)
+    rows, _, _ = shard_documents(documents(spark, sf_dir), 8, path=f"{shared_dir(spark)}/maps/{uuid.uuid4().hex}")
     return ranked(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
