@@ -310,7 +310,7 @@ def gif_frames(media: DataFrame, id_col: str = "id", content_col: str = "content
 def store_bytes(payload: bytes) -> bytes:
     """A payload whose length is a positive multiple of WIDTH as the samples of a grey GIF, WIDTH to a row."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, WIDTH, len(p := rows[i : i + ROWS]), p, grey_palette()) for i in range(0, len(rows), ROWS)]
+    frames = [Frame(0, 0, WIDTH, len(p := rows[i : i + ROWS]), p, grey_palette(), disposal=2) for i in range(0, len(rows), ROWS)]
     return write_gif(WIDTH, min(ROWS, len(rows)), frames)
 
 
@@ -325,7 +325,8 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Every whole text stored as a GIF and read back, with features of its frames (with keep_media also the GIF itself).
 
     The stored stream has one code per sample, which any GIF reader takes; it is an eighth larger than the payload.
-    Null and empty texts become one row of blanks. Equal texts have equal values. Other columns are not read.
+    Null and empty texts become one row of blanks. Equal texts have equal values; repeated rows each get a row; very long texts go on in further frames;
+    other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +336,8 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 media = store_bytes(padded(raw))
                 w, h, frames = read_gif(media)
                 back = b"".join(f.indices.tobytes() for f in frames)
-                hist = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=BINS)
+                # Each frame as it is shown, one canvas at a time; in grey frames the three colours' counts are alike.
+                hist = sum(np.array(histogram(rgba)[:BINS]) for _, rgba in composed(w, h, frames))
                 feature = f"gif;{w}x{h};frames={len(frames)};ms={sum(f.delay_cs for f in frames) * 10};grey={','.join(map(str, hist.tolist()))}"
                 rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature) + ((media,) if keep_media else ()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * keep_media
