@@ -180,21 +180,28 @@ class Rolling:
 LONG_WORD = 64
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of a block's words (ascending). Sums are made for BLOCK_BYTES at a time, however long the text is."""
-    out = np.empty(len(start), np.uint64)
-    short = np.minimum(end, start + LONG_WORD)
+def hashes_to(raw: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of a block's strings from start (ascending) to each of the ends. Sums are made for BLOCK_BYTES at a time, however long the text is."""
+    out = [np.empty(len(start), np.uint64) for _ in ends]
+    short = [np.minimum(e, start + LONG_WORD) for e in ends]
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK_BYTES)))
-        low, high = int(start[i]), int(short[j - 1])
-        out[i:j] = Rolling(raw[low:high]).slices(start[i:j] - low, short[i:j] - low)
+        low = int(start[i])
+        roll = Rolling(raw[low : max(int(e[i:j].max()) for e in short)])
+        for own, e in zip(out, short, strict=True):
+            own[i:j] = roll.slices(start[i:j] - low, e[i:j] - low)
         i = j
-    for k in np.flatnonzero(end > short).tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    for own, e, s in zip(out, ends, short, strict=True):
+        for k in np.flatnonzero(e > s).tolist():
+            own[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : e[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return hashes_to(raw, start, [end])[0]
+
+
 _up = np.ones(1, np.uint64)
 
 

@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, documents, flat, lowered, mix, ranges, words
+from .common import blocks, documents, flat, lowered, mix, ranges, word_hashes, words
 
 BITS = 64
 RADIUS = 3
 #: The fingerprint is cut into so many blocks; a table for each choice of BLOCKS - RADIUS of them.
 BLOCKS = 6
+#: Terms whose votes are counted at once.
+TERMS = 1 << 17
 
 
 def simhash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,15 +42,19 @@ def simhash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             continue
         a = ranges(first[:-1][rows], terms[rows])
         b = np.minimum(a + 1, np.repeat(first[1:][rows] - 1, terms[rows]))
-        roll = Rolling(part)
-        own = roll.slices(start, end)
-        with np.errstate(over="ignore"):
-            h = mix(own[a] * np.uint64(3) + own[b])
-        weight = np.minimum(end[a] - start[a] + (b > a) * (end[b] - start[b]), 24).astype(np.int32) ** 2
-        cuts = np.cumsum(terms[rows]) - terms[rows]
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits * weight[:, None], cuts, axis=0, dtype=np.int64) * 2 - np.add.reduceat(weight, cuts, dtype=np.int64)[:, None]
-        out[i + rows] = np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel()
+        own = word_hashes(part, start, end)
+        row_of = np.repeat(np.arange(len(rows)), terms[rows])
+        votes, weighed = np.zeros((len(rows), BITS), np.int64), np.zeros(len(rows), np.int64)
+        for low in range(0, len(a), TERMS):
+            x, y, r = a[low : low + TERMS], b[low : low + TERMS], row_of[low : low + TERMS]
+            with np.errstate(over="ignore"):
+                h = mix(own[x] * np.uint64(3) + own[y])
+            weight = np.minimum(end[x] - start[x] + (y > x) * (end[y] - start[y]), 24).astype(np.int32) ** 2
+            cuts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[r[cuts]] += np.add.reduceat(bits * weight[:, None], cuts, axis=0, dtype=np.int64)
+            weighed[r[cuts]] += np.add.reduceat(weight, cuts, dtype=np.int64)
+        out[i + rows] = np.packbits(2 * votes > weighed[:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -78,7 +84,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS)
 
     Pairs are of distinct fingerprints, so copies cost nothing; membership is the input itself. Two fingerprints
     within the radius agree on n_blocks - radius whole blocks, so some table's key finds them. Each table's key
-    is those blocks; a pair is kept in the first table that finds it, so it comes once.
+    is those blocks; a pair is kept in the first table that finds it, so it comes once. Null fingerprints are left out; an empty table gives no rows.
     """
     if n_blocks <= radius:
         raise ValueError("n_blocks must be above radius")
@@ -174,8 +180,8 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like they are.
 
-    An empty table gives no rows; a single document is its own next one; null texts are empty; columns beside
-    doc_id and text are not read.
+    An empty table gives no rows; a single document is its own next one; null and empty texts have the fingerprint 0; repeated rows and
+    equal ids each get a row, in the order of their texts' hashes; very long texts vote in parts; columns beside doc_id and text are not read.
     """
     return with_next(docs).select("doc_id", "text", "chunk", "ahead").mapInArrow(_edited, _DIGEST)
 

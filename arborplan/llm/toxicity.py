@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, documents, flat, lowered, utf8
+from .common import blocks, documents, flat, hashes_to, lowered, utf8
 from .samples import held_out, labelled
 
 BUCKETS = 1 << 18
@@ -56,8 +56,8 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashed features of each word, one column for the word and one for each prefix."""
-    roll = Rolling(raw)
-    cols = [roll.slices(start, end)] + [roll.slices(start, np.minimum(end, start + k)) ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in PREFIXES]
+    whole, *heads = hashes_to(raw, start, [end, *(np.minimum(end, start + k) for k in PREFIXES)])
+    cols = [whole] + [h ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for h, k in zip(heads, PREFIXES, strict=True)]
     return np.stack([(c % np.uint64(BUCKETS)).astype(np.int32) for c in cols], axis=1)
 
 
@@ -153,7 +153,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> SentenceModel:
 
 
 def score_toxicity(docs: DataFrame, model: SentenceModel) -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts get the score of a text without words."""
+    """(doc_id, score) of every whole text; null and empty texts get the score of a text without words.
+
+    Repeated rows each get a row, equal texts equal scores; very long texts are hashed in parts; columns beside doc_id and text are not read, so their
+    names may be any; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: SentenceModel) -> DataFrame:
 
 
 def toxic_spans(docs: DataFrame, model: SentenceModel, least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, score): the sentences that by themselves reach the score `least`, as byte spans of the text's UTF-8."""
+    """(doc_id, start, end, score): the sentences that by themselves reach the score `least`, as byte spans of the text's UTF-8. Null and empty texts have none; else as score_toxicity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
