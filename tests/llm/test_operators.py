@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborplan.llm import chat, fingerprints, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
+from arborplan.llm import chat, common, fingerprints, media, mixing, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 from arborplan.llm.components import components
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,9 +244,12 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
-def test_sharding(docs, none, rows):
+def test_sharding(docs, none, rows, tmp_path):
     out = sharding.ranked(sharding.shard_documents(docs, 4)[0]).collect()
     assert len(out) == len(rows)
+    stored = sharding.ranked(sharding.shard_documents(docs, 4, path=str(tmp_path / "maps"))[0]).collect()
+    assert Counter(stored) == Counter(out)
+    assert sharding.shard_documents(none, 4, path=str(tmp_path / "empty"))[0].count() == 0
     for s in {r.shard for r in out}:
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
     loads = [sum(r.size for r in out if r.shard == s) for s in range(4)]
@@ -266,7 +269,10 @@ def test_sharding(docs, none, rows):
 def test_slot_map_is_stored(spark, tmp_path):
     m = sharding.first_map({1: 5, 2: 6}, 2)
     m.store(spark, str(tmp_path / "maps"))
-    sharding.SlotMap(2, {1: 0, 2: 0}, {}, 2).store(spark, str(tmp_path / "maps"))
+    sharding.SlotMap(2, {1: 0, 2: 0}, {2: 4}, 2).store(spark, str(tmp_path / "maps"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "maps")) == sharding.SlotMap(2, {1: 0, 2: 0}, {2: 4}, 2) and sharding.SlotMap.load(spark, str(tmp_path / "maps"), 1) == m
+    sharding.SlotMap(3, {}).store(spark, str(tmp_path / "none"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "none")) == sharding.SlotMap(3, {})
     assert spark.read.parquet(str(tmp_path / "maps")).groupBy("version").count().count() == 2
 
 
@@ -352,6 +358,12 @@ def test_gif(spark, docs, none, rows):
     out = media.text_media(docs).collect()
     want = Counter((i, len(raw(t)), hashlib.sha256(media.padded(raw(t))).hexdigest(), zlib.crc32(media.padded(raw(t))[-16:])) for i, t, *_ in rows)
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
+    for r in out:
+        hist = np.bincount(np.frombuffer(next(media.padded(raw(t)) for i, t, *_ in rows if i == r.doc_id), np.uint8) >> 5, minlength=8)
+        assert r.feature.endswith("grey=" + ",".join(map(str, hist.tolist()))) and r.media_bytes > r.payload_bytes
+    data = media.store_bytes(bytes(range(192)) * 5)
+    assert {r.media_sha256 for r in media.text_media(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()} == {hashlib.sha256(media.store_bytes(b"x" + b" " * 191)).hexdigest()}
+    assert b"".join(f.indices.tobytes() for f in media.read_gif(data)[2]) == bytes(range(192)) * 5
     assert media.text_media(none).count() == 0
 
 
@@ -374,7 +386,7 @@ def test_packing(docs, none, rows):
     assert by == want and packing.pack(none, packing.tokenizer_path()).count() == 0
 
 
-def test_fingerprints(spark, docs, none, rows):
+def test_fingerprints(spark, docs, none, rows, monkeypatch):
     out = fingerprints.edited_fingerprints(docs).collect()
     order = sorted(rows, key=lambda r: -(10**9) if r[0] is None else r[0])
     assert len(out) == len(rows)
@@ -390,6 +402,12 @@ def test_fingerprints(spark, docs, none, rows):
         assert (got.fingerprint, got.edited_fingerprint) == (f"{own:016x}", f"{ed:016x}")
         assert got.near_edited == 1 - (own ^ ed).bit_count() / 64 and got.near_next == 1 - (own ^ after).bit_count() / 64
     assert fingerprints.edited_fingerprints(none).count() == 0
+    text = np.frombuffer((" ".join(texts[3:40]) + " " + "y" * 300).encode(), np.uint8)
+    whole = fingerprints.simhash(text, np.array([0, len(text)]))
+    monkeypatch.setattr(fingerprints, "TERMS", 50)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 256)
+    assert fingerprints.simhash(text, np.array([0, len(text)])) == whole
+    monkeypatch.undo()
     r = random.Random(7)
     base = [r.getrandbits(64) for _ in range(40)]
     prints = {x ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) & (1 << 64) - 1 for x in base for _ in range(6)}
