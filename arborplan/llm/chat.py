@@ -114,38 +114,45 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, needs: DataFrame | Non
     return both.select("conv_id", F.col("id").alias("call_id"), "level", status.alias("status"), errors.alias("errors"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), body.alias("json"))
 
 
-REPLY = {"reply": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}, "system": {"type": "string"}}, "required": ["prompt", "turn"]}}
+TURN = {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"]}
+TOOLS = {"reply": TURN, "system": TURN}
 
 
 def op1_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user message is a call of the tool `reply`, each assistant message the result of the call one turn before; a call needs the user message two turns before."""
+    """Every turn takes part. A user message is a call of the tool `reply`, an assistant message the result of the call one turn before,
+    and any other message a call of a tool named as its role: `system` is known, other roles and a null one are unknown tools.
+
+    A user message needs the one two turns before; at turn 1, the system message at turn 0, if there is one. A null text is a missing prompt or an empty result.
+    Turns without conv_id or number have a null id and link with nothing.
+    """
     chat = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     at = lambda d: F.concat(F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - d).cast("string"))
-    user = F.col("role") == "user"
+    user, result = F.col("role") == "user", F.col("role").eqNullSafe("assistant")
     arguments = F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt")))
-    calls = chat.where(user).select("conv_id", at(0).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = chat.where(F.col("role") == "assistant").select(at(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    needs = chat.where(user & (F.col("turn") >= 2)).select(at(0).alias("call_id"), at(2).alias("on"))
-    return link_tool_calls(calls, results, needs, REPLY)
+    calls = chat.where(~result).select("conv_id", at(0).alias("call_id"), "turn", F.when(user, "reply").otherwise(F.col("role")).alias("name"), arguments.alias("arguments"))
+    results = chat.where(result).select(at(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    needs = chat.where(user & (F.col("turn") >= 1)).select(at(0).alias("call_id"), F.when(F.col("turn") == 1, at(1)).otherwise(at(2)).alias("on"))
+    return link_tool_calls(calls, results, needs, TOOLS)
 
 
 OP1_SQL = """
 with c as (
-  select conv_id || '-' || turn as call_id, min(conv_id) as conv_id, min(turn) as turn, count(*) as n_calls, min(text) as prompt
-  from conversations where role = 'user' group by all),
+  select conv_id || '-' || turn as call_id, min(conv_id) as conv_id, min(turn) as turn, count(*) as n_calls, min(text) as prompt,
+    min(case when role = 'user' then 'reply' else role end) as name
+  from conversations where role is distinct from 'assistant' group by all),
 r as (
   select conv_id || '-' || (turn - 1) as r_id, min({'t': turn, 'x': text}) as first, count(*) as n_results
   from conversations where role = 'assistant' group by all),
 f as (
-  select call_id, min(conv_id) as conv_id, min(turn) as turn, sum(n_calls) as n_calls, min(prompt) as prompt from c group by call_id),
+  select call_id, min(conv_id) as conv_id, min(turn) as turn, sum(n_calls) as n_calls, min(prompt) as prompt, min(name) as name from c group by call_id),
 j as (select * from f full join r on call_id = r_id),
 s as (
   select *, case when call_id is null then 'orphan' when r_id is null then 'unanswered' else 'linked' end as status from j)
 select conv_id, coalesce(call_id, r_id) as call_id, turn as level, status,
-  case when call_id is not null and prompt is null then 'missing prompt' else '' end as errors,
+  case when call_id is null then '' when name is null or name not in ('reply', 'system') then 'unknown tool' when prompt is null then 'missing prompt' else '' end as errors,
   cast(coalesce(n_calls, 0) as bigint) as n_calls, cast(coalesce(n_results, 0) as bigint) as n_results,
   '{"arguments":' || case when call_id is null then '""' else '{' || case when prompt is null then '' else '"prompt":' || to_json(prompt) || ',' end || '"turn":' || turn || '}' end ||
-  ',"id":"' || coalesce(call_id, r_id) || '","name":"' || case when call_id is null then '' else 'reply' end || '","result":' ||
+  ',"id":"' || coalesce(call_id, r_id) || '","name":' || to_json(coalesce(name, '')) || ',"result":' ||
   case when r_id is null then 'null' else to_json(coalesce(first.x, '')) end || ',"status":"' || status || '"}' as json
 from s
 """

@@ -436,6 +436,18 @@ def test_chat(spark):
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), None, schemas).count() == 0
 
 
+def test_all_turns_take_part(spark, tmp_path):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", None), (2, 1, "tool", "x"), (2, 2, None, "y"), (3, 1, "assistant", "z"), (None, 0, "user", "n")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.call_id: r for r in chat.op1_tool_chat(spark, str(tmp_path)).collect()}
+    assert {k: (r.status, r.errors, r.level) for k, r in got.items()} == {
+        "1-0": ("unanswered", "", 0), "1-1": ("linked", "", 1), "2-0": ("unanswered", "missing prompt", 0), "2-1": ("unanswered", "unknown tool", 1),
+        "2-2": ("unanswered", "unknown tool", 2), "3-0": ("orphan", "", None), None: ("unanswered", "", None),
+    }
+    assert got["1-0"].json == '{"arguments":{"prompt":"s","turn":0},"id":"1-0","name":"system","result":null,"status":"unanswered"}'
+    assert '"name":"tool"' in got["2-1"].json and '"name":""' in got["2-2"].json
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
