@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, boxed, cut, documents, flat, lowered, mix, row_hash, scratch, unboxed, utf8, word_hashes, words
+from .common import blocks, boxed, cut, documents, flat, lean, lowered, mix, row_hash, scratch, unboxed, utf8, word_hashes, words
 from .components import components
 
 SHINGLE = 4
@@ -149,7 +149,7 @@ def prefix_rows(docs: DataFrame, counts: np.ndarray, size: int = SHINGLE, percen
                     names = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(nodes)), [k for _, k in nodes]), pa.array([x for x, _ in nodes], pa.binary())).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), names, pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], ["token", "node", "n", "pos"])
 
-    return docs.select(utf8().alias("t")).mapInArrow(run, "token long, node binary, n int, pos int")
+    return docs.select(utf8().alias("t")).mapInArrow(lean(run), "token long, node binary, n int, pos int")
 
 
 def _shared(percent: int = PERCENT):
@@ -274,7 +274,7 @@ class Join:
         spark = docs.sparkSession
         self.size, self.percent = size, percent
         rows = docs.select("doc_id", "text")
-        self.sets = cut(rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), utf8().alias("t")).mapInArrow(lambda batches: _summaries(batches, size), _SETS), keep=True)
+        self.sets = cut(rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), utf8().alias("t")).mapInArrow(lean(lambda batches: _summaries(batches, size)), _SETS), keep=True)
         self.rows = self.sets.where("slice is null").select("doc_id", "text_hash", "n", "node")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         prefix = prefix_rows(rows, rarity(self.sets), size, percent).repartition(n, "token").sortWithinPartitions("token", "n", "pos", "node")
@@ -315,7 +315,7 @@ class Join:
             ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
             both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
             size, percent = self.size, self.percent
-            return cut(both.mapInArrow(lambda batches: _linked(batches, size, percent), "a binary, b binary"), keep=True)
+            return cut(both.mapInArrow(lean(lambda batches: _linked(batches, size, percent)), "a binary, b binary"), keep=True)
 
     def may_link(self, na: str, pa_: str, nb: str, pb: str) -> Column:
         """Length filter, and the positional one: what can still be shared from this token on."""

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, lean
 
 MOST = 2048
 END = 1
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = MOST, with_ids: boo
                 names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _PIECES + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), _PIECES + ", ids array<long>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, most: int = MOST, with_ids: bool = False) -> DataFrame:

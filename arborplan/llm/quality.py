@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blocks, boxed, documents, flat, unboxed, utf8
+from .common import blocks, boxed, documents, flat, lean, unboxed, utf8
 from .samples import held_out, labelled
 
 FILTERS = 16
@@ -22,7 +22,7 @@ HIDDEN = 16
 #: A byte recurs if the four bytes that end at it stood up to so many bytes before.
 LAGS = range(2, 41)
 #: Bytes of a text that are looked at together, a multiple of HALF; a longer one is worked on in parts.
-LONG = 1 << 20
+LONG = 1 << 18
 STEPS = 160
 RATE = 0.01
 
@@ -191,7 +191,7 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.scores(*flat(b.column(1))))], ["row", "score"])
 
-    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    out = rows.mapInArrow(lean(run), StructType([rows.schema["row"], StructField("score", DoubleType())]))
     return out.select(*(F.col(f"row.c{i}") for i, c in enumerate(docs.columns) if c != "score"), "score").toDF(*keep, "score")
 
 
@@ -203,7 +203,7 @@ def kept(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
         for b in batches:
             yield b.select([0]).filter(pa.array(net.scores(*flat(b.column(1))) >= least))
 
-    return unboxed(rows.mapInArrow(run, StructType([rows.schema["row"]])), docs.columns)
+    return unboxed(rows.mapInArrow(lean(run), StructType([rows.schema["row"]])), docs.columns)
 
 
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

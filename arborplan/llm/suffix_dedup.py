@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, boxed, cut, documents, flat, scratch, unboxed, utf8
+from .common import Rolling, boxed, cut, documents, flat, lean, scratch, unboxed, utf8
 
 WINDOW = 400
 GRAM = 152
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, windows: tuple[int, ...] = (WINDOW,), gram:
         wanted = cut(kinds.where("mixed").groupBy("own.key").agg(F.collect_list(F.struct("anchor", "digest", "off", "n", "len", F.col("own.start").alias("start"))).alias("want")))
         cells = wanted.select(cell("key").alias("cell")).distinct()
         texts = docs.join(F.broadcast(cells), cell("key") == F.col("cell"), "left_semi").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
-        cuts = texts.join(wanted, "key").select("t", "want").mapInArrow(_cutter, "anchor long, digest long, off int, n int, seg binary")
+        cuts = texts.join(wanted, "key").select("t", "want").mapInArrow(lean(_cutter), "anchor long, digest long, off int, n int, seg binary")
         heavy = [r.anchor for r in kinds.where("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY).select("anchor").limit(1).collect()]
         if heavy:
             cuts = cut(cuts)
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame, windows: tuple[int, ...] = (WINDOW,), gram:
             more = each.join(twice, ["which", "w"]).groupBy("anchor", "digest", "which").agg(F.collect_list("i").alias("first")).select("anchor", "digest", "which", "first", F.transform("first", lambda i: i + 1).alias("last"))
         else:
             light, more = cuts, None
-        built = light.repartition(n, "anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_collections(windows), _FOUND)
+        built = light.repartition(n, "anchor").sortWithinPartitions("anchor", "digest").mapInArrow(lean(_collections(windows)), _FOUND)
         if more is not None:
             built = built.unionByName(more)
         single = kinds.where("mixed and k = 1").select("anchor", "digest")
