@@ -395,12 +395,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """
     names = docs.columns
 
-    @F.udf("string")
-    def rest(raw: bytes, spans: list) -> str:
-        return whole_characters(bytes(raw), merged(spans, window))
+    @F.udf("string", useArrow=True)
+    def rest(raw: bytes | None, spans: list | None) -> str | None:
+        return None if spans is None else whole_characters(bytes(raw), merged(spans, window))
 
     rows = spanned(boxed(docs, "text").select("row", utf8("k0").alias("t")), (window,), gram)
-    left = F.when(F.col("spans0").isNull(), F.col(f"row.c{names.index('text')}")).otherwise(rest("t", "spans0"))
+    left = F.when(F.col("spans0").isNull(), F.col(f"row.c{names.index('text')}")).otherwise(rest(F.when(F.col("spans0").isNotNull(), F.col("t")), "spans0"))
     out = rows.select("row", left.alias("left"), F.col("spans0").isNull().alias("same")).where(F.col("same") | (F.length("left") > 0))
     own = F.col("row").withField(f"c{names.index('text')}", F.col("left"))
     if "n_chars" in names:
